@@ -105,6 +105,11 @@ def quote_regex(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|/\-#&~])", r"\\$1")
 
 
+def extract(text: Column, pattern: Column, group: int) -> Column:
+    """``regexp_extract`` with a pattern per row."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(group))
+
+
 # a noncharacter (reserved by Unicode for internal use) between the groups of one match
 GROUP_MARK = "\ufdd0"
 

@@ -170,9 +170,8 @@ def tables(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     found = T.let(T.stripped_lines(F.col("text")), lambda ls: T.let(
         F.filter(F.transform(ls, lambda x, i: F.when(~is_table_row(x), i + 1)), lambda i: i.isNotNull()),
         lambda breaks: cut(ls, breaks)))
-    # documents without a pipe or a double blank hold no table
     return (
-        docs.filter(is_table_row(F.col("text"))).select(*keys, F.posexplode_outer(found).alias("table_no", "rows"))
+        docs.select(*keys, F.posexplode_outer(found).alias("table_no", "rows"))
         .filter(F.col("table_no").isNotNull())
     )
 

@@ -37,7 +37,7 @@ def lines_of(source: str, keys: str = "corpus, doc_id", name: str = "lines") ->
   SELECT {keys}, regexp_split_to_array(text, {lit(T.LINE_BREAK)}) AS a FROM {source} WHERE text <> ''),
 {name}_b AS (SELECT {keys}, CASE WHEN a[len(a)] = '' THEN a[1:len(a)-1] ELSE a END AS a FROM {name}_a),
 {name}_c AS (SELECT {keys}, unnest(a) AS raw, unnest(range(1, len(a) + 1)) AS line_no FROM {name}_b),
-{name} AS (SELECT {keys}, CAST(line_no AS INT) AS line_no, {strip('raw')} AS text FROM {name}_c)"""
+{name} AS MATERIALIZED (SELECT {keys}, CAST(line_no AS INT) AS line_no, {strip('raw')} AS text FROM {name}_c)"""
 
 
 LINES = CORPUS + ",\n" + lines_of("docs")

@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import discovery as D
 from ..sources import forms as Fm
-from ..sources.tables import table
 from . import sqlkit as S
+from .queries_base import collector
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return add
-
+QUERIES, ORACLES, query = collector()
 
 # ---- the independent SQL formulation of lines, sections, tables and candidates --------------
 HEADING = """(text <> '' AND (starts_with(text, '#') OR (upper(text) = text AND lower(text) <> text AND length(text) BETWEEN 4 AND 60)
