@@ -46,18 +46,20 @@ REVIEW_BELOW = 0.7
 
 def classify_document(file_name: Column, text: Column) -> Column:
     """Document class by file name, then content words, then weak words; null otherwise."""
-    name, body = F.upper(file_name), F.upper(text)
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for cls, words in NAME_CLASSES:
-        out = out.when(T.contains_any(name, words), cls)
-    for cls, words in CONTENT_CLASSES:
-        out = out.when(T.contains_any(body, words), cls)
-    for cls, words in WEAK_CLASSES:
-        cond = F.lit(True)
-        for w in words:
-            cond = cond & body.contains(w)
-        out = out.when(cond, cls)
-    return out
+    def decide(x: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for cls, words in NAME_CLASSES:
+            out = out.when(T.contains_any(x["name"], words), cls)
+        for cls, words in CONTENT_CLASSES:
+            out = out.when(T.contains_any(x["body"], words), cls)
+        for cls, words in WEAK_CLASSES:
+            cond = F.lit(True)
+            for w in words:
+                cond = cond & x["body"].contains(w)
+            out = out.when(cond, cls)
+        return out
+
+    return T.let(F.struct(F.upper(file_name).alias("name"), F.upper(text).alias("body")), decide)
 
 
 def bundle_texts(docs: DataFrame, by: Sequence[str] = ("case_id", "doc_type")) -> DataFrame:
