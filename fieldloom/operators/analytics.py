@@ -110,8 +110,10 @@ def active_sessions(tokens: DataFrame, users: DataFrame, now: Column) -> DataFra
 
 
 def default_asset(assets: DataFrame) -> DataFrame:
-    """The first active default by (display_order, id)."""
-    return assets.filter("is_default and is_active").orderBy("display_order", "id").limit(1)
+    """The first active default by (display_order, id) and the number of defaults, in one aggregation."""
+    usable = F.when(F.col("is_default") & F.col("is_active"), F.struct("display_order", "id"))
+    return assets.agg(F.min(usable).alias("m"), F.count_if("is_default").alias("defaults")).select(
+        "m.id", "m.display_order", "defaults", (F.col("defaults") > 1).alias("too_many"))
 
 
 def set_default(assets: DataFrame, asset_id: int) -> DataFrame:

@@ -195,10 +195,7 @@ ASSETS_SQL = "assets AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in ASSETS.i
 SELECT p.id, p.display_order, n.defaults, n.defaults > 1 AS too_many FROM p, (SELECT count(*) AS defaults FROM assets WHERE is_default) n""")
 def h10(spark, d):
     a = table(spark, d, "supplier").select(*[F.expr(v).alias(k) for k, v in ASSETS.items()])
-    n = a.agg(F.count_if("is_default").alias("defaults"))
-    # both sides are one row
-    return A.default_asset(a).select("id", "display_order").join(n).select(
-        "id", "display_order", "defaults", (F.col("defaults") > 1).alias("too_many"))
+    return A.default_asset(a)
 
 
 @query("h11_orphans", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
