@@ -10,9 +10,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-HEADLINE = ["b2_line_explode", "c4_key_value_same_line", "c6_tables", "candidates_by_strategy", "d7_fuzzy_match",
-            "d12_label_search_any_case", "d18_acceptance", "e4_same_line_rule", "e10_first_match_cascade", "f1_derived_flags",
-            "f9_field_validation", "g1_classify", "g8_best_value", "g12_report_values", "h1_field_metrics", "h6_accuracy"]
+HEADLINE = ["h1_field_metrics", "h3_review_badges", "g8_best_value", "g12_report_values", "f9_field_validation", "g1_classify",
+            "f1_derived_flags", "b2_line_explode", "c6_tables", "c4_key_value_same_line", "e4_same_line_rule", "d12_label_search_any_case",
+            "candidates_by_strategy"]
 
 
 def main() -> None:
@@ -31,6 +31,7 @@ def main() -> None:
         start = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
         spark.catalog.clearCache()
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
