@@ -45,11 +45,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, rows: int, per_bucket: int = 100_000) -> DataFrame:
     """Add a gapless rank from 0 within keys, without putting the rows of a key into one task.
 
-    Rows are dealt into hash buckets of about per_bucket rows; a bucket is ranked by a window, and the buckets before
-    it are added as an offset. The offsets table has a row for each key and bucket, not for each row.
+    Rows are dealt into buckets of about per_bucket rows by a hash of the first order column; a bucket is ranked by a
+    window, and the buckets before it are added as an offset. The offsets have a row for each key and bucket only.
     """
     buckets = max(1, math.ceil(rows / per_bucket))
-    b = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    b = df.withColumn("_bucket", F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int"))
     counts = b.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing
+from . import mixing, sharding
 from .base import documents
 
 QUERIES: dict = {}
@@ -27,3 +27,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(narrow).select(
         F.col("key.doc_id").alias("doc_id"), "source", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query("op1_balanced_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.balanced_shards(sharding.narrow_documents(documents(spark, sf_dir)))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group")
