@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import mixing, secrets, sharding
 from .base import documents
 
 QUERIES: dict = {}
@@ -34,3 +34,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.balanced_shards(sharding.narrow_documents(documents(spark, sf_dir)))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
                        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group")
+
+
+@query("op10_credential_links")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.credential_spans(documents(spark, sf_dir))
+    n = lambda k: F.size(F.filter("strong", lambda s: s["kind"] == k)).cast("long")
+    return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                       F.sha2(secrets.listed(F.col("strong")), 256).alias("base_sha256"),
+                       secrets.listed(F.concat("strong", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
