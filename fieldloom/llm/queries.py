@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, secrets, sharding
+from . import mixing, near_dup, secrets, sharding
 from .base import documents
 
 QUERIES: dict = {}
@@ -43,3 +43,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
                        F.sha2(secrets.listed(F.col("strong")), 256).alias("base_sha256"),
                        secrets.listed(F.concat("strong", "linked")).alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+
+
+OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2])
+                                        WHEN len(ws) = 1 THEN ws ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n, hash(list_sort(sh)) AS hs, sh FROM s),
+r AS (SELECT min(doc_id) AS rep, n, hs, any_value(sh) AS sh FROM n WHERE n > 0 GROUP BY n, hs),
+e AS (SELECT rep, n, unnest(sh) AS x FROM r),
+f AS (SELECT x, count(*) AS df FROM e GROUP BY x HAVING count(*) > 1),
+o AS (SELECT rep, n, e.x, row_number() OVER (PARTITION BY rep ORDER BY coalesce(df, 1), e.x) AS k FROM e LEFT JOIN f ON f.x = e.x),
+p AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM o a JOIN o b ON a.x = b.x AND a.rep < b.rep
+      WHERE a.k <= a.n - (a.n * 80 + 99) // 100 + 1 AND b.k <= b.n - (b.n * 80 + 99) // 100 + 1
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+j AS (SELECT p.a, p.b, len(list_intersect(x.sh, y.sh)) AS i, x.n + y.n AS t FROM p JOIN r x ON x.rep = p.a JOIN r y ON y.rep = p.b),
+l AS (SELECT a, b FROM j WHERE 100 * i >= 80 * (t - i)),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT rep AS a, rep AS b FROM r UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.component_id, n.doc_id) AS component_id, coalesce(c.component_id, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN r ON r.n = n.n AND r.hs = n.hs LEFT JOIN c ON c.a = r.rep
+"""
+
+
+@query("op5_odd_sketches", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dup.near_duplicates(documents(spark, sf_dir), width=2)
+    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
