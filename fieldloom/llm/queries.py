@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, near_dup, secrets, sharding
+from . import line_rules, mixing, near_dup, secrets, sharding, tokens
 from .base import documents
 
 QUERIES: dict = {}
@@ -72,3 +72,15 @@ FROM n LEFT JOIN r ON r.n = n.n AND r.hs = n.hs LEFT JOIN c ON c.a = r.rep
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dup.near_duplicates(documents(spark, sf_dir), width=2)
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op8_piece_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_line_cleaning")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(documents(spark, sf_dir), ["doc_id"]).drop("clean_text")
