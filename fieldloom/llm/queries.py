@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_rules, mixing, near_dup, secrets, sharding, tokens
+from . import decontam, line_rules, mixing, near_dup, secrets, sharding, tokens
 from .base import documents
 
 QUERIES: dict = {}
@@ -84,3 +84,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_cleaning")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(documents(spark, sf_dir), ["doc_id"]).drop("clean_text")
+
+
+@query("op6_aligned_leaks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
