@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, line_rules, mixing, near_dup, secrets, sharding, tokens
+from . import decontam, language, line_rules, mixing, near_dup, secrets, sharding, tokens, toxicity
 from .base import documents
 
 QUERIES: dict = {}
@@ -89,3 +89,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_aligned_leaks")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _remainder(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+@query("op9_folded_lexicon")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _remainder(5) > 0, ["doc_id"])
+    return rows.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
+@query("op4_cross_parsing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _remainder(4)
+    rows = language.languages(documents(spark, sf_dir), (r >= 0) & (r != 2), ["doc_id"])
+    return rows.select("doc_id", (r == 2).alias("held_out"), "lang_pred", "score", "bits")
