@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, language, line_rules, mixing, near_dup, secrets, sharding, tokens, toxicity
+from . import decontam, language, line_rules, mixing, near_dup, secrets, sharding, surrogates, tokens, toxicity
 from .base import documents
 
 QUERIES: dict = {}
@@ -107,3 +107,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _remainder(4)
     rows = language.languages(documents(spark, sf_dir), (r >= 0) & (r != 2), ["doc_id"])
     return rows.select("doc_id", (r == 2).alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query("op7_surrogates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(documents(spark, sf_dir))
