@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldloom.llm import mixing
-from fieldloom.llm.base import cut, documents
+from fieldloom.llm import decontam, line_rules, mixing, near_dup, sharding
+from fieldloom.llm.base import DOCUMENT, cut, documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, rejected documents go; n_chars follows the text that stays."""
+    judged = line_rules.clean_lines(docs, DOCUMENT).where("kept")
+    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source",
+                         F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (shingles of five words, similarity of 0.8 or more)."""
+    return near_dup.first_of_groups(docs.select(*DOCUMENT))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a benchmark item go."""
+    return decontam.decontaminated(docs.select(*DOCUMENT), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    """Every document as often as the mix of sources takes it."""
+    return mixing.mix_documents(docs.select(*DOCUMENT))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of each document of the mixture."""
+    rows = sharding.balanced_shards(sharding.narrow_documents(docs))
+    return rows.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
-STAGES = [("mixture", mixture)]
-#: The mixture draws and shards move by hash, which SQL cannot follow; the stages are tested against brute force.
+STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
+#: The draws of the mixture and the moves between shards follow hashes that SQL does not have; tests use brute force.
 ORACLE_SQL = None
 
 
@@ -21,5 +45,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages after one another; each result is written to the shared folder and read back for the next."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)

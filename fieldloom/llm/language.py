@@ -37,6 +37,7 @@ def _squeezed(data: np.ndarray) -> np.ndarray:
     letter = _LETTER[data]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    keep[:1] = True
     return keep
 
 
@@ -121,8 +122,9 @@ class Model:
             c = codes[begin[:n] + t]
             now = self.table[state[:, :n] * k + c]
             stop = now < 0
-            count[:, :n] += stop
+            count[:, :n] += stop & (state[:, :n] != roots)  # a phrase ends before this byte
             now = np.where(stop, self.table[roots * k + c], now)
+            count[:, :n] += now < 0  # a byte that the sample lacks is a phrase
             state[:, :n] = np.where(now < 0, roots, now)
         count += state != roots
         total = np.stack([np.bincount(row, c, len(size)) for c in count], 1) if len(self.langs) else np.zeros((len(size), 0))

@@ -233,3 +233,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         ids = ids.withColumnRenamed("carrier", "first")
     own = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     return own.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without all but the first (smallest doc_id) of each group of near-duplicates.
+
+    Rows of equal doc_id and text are one document, of which one row stays. Rows without doc_id stay.
+    """
+    found = cut(near_duplicates(docs, width, percent), "groups")
+
+    def without(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        few = ids.count() <= FEW_IDS
+        return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+    later = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "later")
+    kept = without(docs, later, "left_anti")
+    twice = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.take(1):
+        kept = without(kept, twice, "left_anti").unionByName(without(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept

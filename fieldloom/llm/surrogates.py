@@ -51,7 +51,8 @@ _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 _CARD = r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)"
-_ALL_TITLES = _any(f"{MALE_TITLES} {FEMALE_TITLES} {TITLES}")
+MALE_TITLES, FEMALE_TITLES = f"{MALE_TITLES} {MALE_TITLES.upper()}", f"{FEMALE_TITLES} {FEMALE_TITLES.upper()}"
+_ALL_TITLES = _any(f"{MALE_TITLES} {FEMALE_TITLES} {TITLES} {TITLES.upper()}")
 _ALL_GIVEN = _any(f"{MALE_LATIN} {FEMALE_LATIN} {MALE_CYRILLIC} {FEMALE_CYRILLIC} {MALE_GREEK} {FEMALE_GREEK}")
 _NAME = rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_LETTERS}(?: (?!(?:{_ALL_TITLES})\b){_LETTERS})?|(?:{_ALL_GIVEN}) {_LETTERS})"
 ENTITY = "|".join([_MAIL, _IBAN, _IP, _SSN, _PHONE, _CARD, _NAME])

@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -212,18 +213,22 @@ def _values(docs: DataFrame, carry: list[str], weights: dict[str, float], except
 
 
 def _calibrated(rows: DataFrame, weights: dict[str, float], exceptions: set[str], usual: float) -> list[float]:
-    """The share of toxic documents at each level, never falling with it; BINS sums come to the driver."""
+    """The share of toxic documents at each level, never falling with it; BINS sums come to the driver.
+
+    Level 0 (no hit) leans to the usual share, other levels to a half; a level that no document has lies between its
+    neighbours.
+    """
     seen = {r["level"]: (r["t"], r["n"]) for r in _values(rows, ["toxic"], weights, exceptions, []).groupBy("level")
             .agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.count("*").alias("n")).collect()}
-    stack: list[list[float]] = []
-    for k in range(BINS):
+    stack: list[tuple[float, float, list[int]]] = []
+    for k in sorted({0, *seen}):
         t, n = seen.get(k, (0, 0))
-        # an empty level takes the share of the levels around it; level 0 leans to the usual share, the others to a half
-        stack.append([t + (usual if k == 0 else 0.5 if n else 0.0), n + (1.0 if n or k == 0 else 0.0), 1])
-        while len(stack) > 1 and (not stack[-1][1] or stack[-2][0] * stack[-1][1] > stack[-1][0] * stack[-2][1]):
-            t, n, k_ = stack.pop()
-            stack[-1] = [stack[-1][0] + t, stack[-1][1] + n, stack[-1][2] + k_]
-    return [t / n for t, n, k in stack for _ in range(int(k))]
+        stack.append((t + (usual if k == 0 else 0.5), n + 1.0, [k]))
+        while len(stack) > 1 and stack[-2][0] * stack[-1][1] > stack[-1][0] * stack[-2][1]:
+            (t, n, high), (u, m, low) = stack.pop(), stack.pop()
+            stack.append((t + u, n + m, low + high))
+    known = [(k, t / n) for t, n, levels in stack for k in levels]
+    return [float(x) for x in np.interp(range(BINS), *zip(*known, strict=True))]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn, carry: list[str]) -> DataFrame:
