@@ -37,6 +37,13 @@ PHONE = r"\b[6-9]\d{9}\b|\+91\s*[6-9]\d{9}\b"
 RESIDENCE = r"(?i)\b(?:Resident of|residing at|R/o\.?|R/O|Address:)\s+(.*)"
 ADDRESS_WORDS = "road street colony nagar flat plot house h.no d.no village mandal district state pincode pin hyd".split()
 PROFILE = (r"(?i)\b(Mrs\.|Mr\.|Smt\.|Sri\.|Late|SRI|SMT|MR|MRS|LATE)\b\s*([A-Za-z\s'./]{3,60})\s+(?:S/o|W/o|D/o|C/o)\s*([A-Za-z\s'./]{3,60})")
+PROFILE_TAIL = r"(?i)\s+(?:aged|about|years|occup|resident|r/o|pan|aadhar|first|second|vendor|vendee|owner|applicant)\b.*"
+PROFILE_ADDRESS = (r"(?i)\b(?:Resident of|residing at|R/o\.?|R/O|Address:?)\s*(.*?)(?:\bCell\b|\bPhone\b|\bAadhar\b|\bAadhaar\b|\bPAN\b|\bHereinafter\b|"
+                   r"\bTowards\b|\bOnline\b|\bReceived\b|\bAgreement\b|\bWork\b|"
+                   r"\.\s+(?!(?:No|Flat|Plot|Door|House|H|F|P|D|S/o|W/o|D/o|C/o|Aged|Occupation|Pvt|Emp)\b)[A-Z]|$)")
+ADDRESS_NOISE = r"(?i)\s+(?:having|who|represented|aged|by|occupation|occup)\b.*"
+# characters after and before a party that its address, phone and role may stand in
+PROFILE_AFTER, ROLE_BEFORE, ROLE_AFTER = 600, 200, 400
 BUYER_WORDS = ["vendee", "buyer", "purchaser", "second party"]
 SELLER_WORDS = ["vendor", "seller", "first party", "landowner", "land owner"]
 NAME_KEYS = ("name_of_the_owner_s purchaser_name developer_name vendor_name power_of_attorney_holder witness_1 witness_2 "
@@ -183,26 +190,37 @@ def split_party(block: Column) -> Column:
 
 
 def party_profiles(text: Column) -> Column:
-    """All ``honorific name relation parent`` hits with phone and role from the text around them."""
+    """All ``honorific name relation parent`` hits with address, phone and role from the text around them.
+
+    The windows are characters of the text, whatever other hits stand in them: running lengths give each hit's place.
+    """
     flat = F.regexp_replace(text, r"\s+", " ")
 
-    def one(x: Column, i: Column, pieces: Column, hits: Column) -> Column:
-        clean = lambda c: F.btrim(F.regexp_replace(T.strip(c), NAME_TAIL, ""), F.lit(" .:-–—=|/"))
-        # the text on both sides of the hit, as far as the role and phone windows reach
-        after = F.substring(F.concat(F.element_at(pieces, i + 2), F.coalesce(F.get(hits, i + 1), F.lit(""))), 1, 600)
-        before = F.element_at(pieces, i + 1)
-        around = F.lower(F.concat(F.substr(before, F.greatest(F.length(before) - 199, F.lit(1)), F.lit(200)), x, F.substring(after, 1, 400)))
+    def one(t: Column, h: Column, i: Column) -> Column:
+        x, start = h["hit"], h["start"]
+        end = start + F.length(x)
+        clean = lambda c: F.btrim(T.strip(F.regexp_replace(T.strip(c), PROFILE_TAIL, "")), F.lit(" .:-–—=|/"))
+        window = F.substr(t, end + 1, F.lit(PROFILE_AFTER))
+        low = F.greatest(start - ROLE_BEFORE, F.lit(0))
+        around = F.lower(F.substr(t, low + 1, end + ROLE_AFTER - low))
         role = F.when(T.contains_any(around, BUYER_WORDS), "buyer").when(T.contains_any(around, SELLER_WORDS), "seller")
         name = clean(F.regexp_extract(x, PROFILE, 2))
-        addr = F.btrim(F.regexp_extract(after, r"(?i)\b(?:Resident of|residing at|R/o\.?|Address:?)\s*(.*?)(?:\b(?:Cell|Phone|Aadhar|Aadhaar|PAN)\b|$)", 1), F.lit(" ,:-"))
+        addr = F.btrim(T.strip(F.regexp_replace(T.strip(F.regexp_extract(window, PROFILE_ADDRESS, 1)), ADDRESS_NOISE, "")), F.lit(" ,:-"))
         return F.when(F.length(name) > 3, F.struct(
             T.collapse_blanks(F.concat(F.regexp_extract(x, PROFILE, 1), F.lit(" "), name)).alias("name"), name.alias("raw_name"),
             clean(F.regexp_extract(x, PROFILE, 3)).alias("parent"), F.nullif(addr, F.lit("")).alias("address"),
-            F.nullif(F.regexp_extract(after, PHONE, 0), F.lit("")).alias("phone"), role.alias("role"), i.alias("pos")))
+            F.nullif(F.regexp_extract(window, PHONE, 0), F.lit("")).alias("phone"), role.alias("role"), i.alias("pos")))
+
+    def placed(z: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x["skip"] + F.length(x["hit"])).alias("at"),
+                                     F.concat(a["hits"], F.array(F.struct((a["at"] + x["skip"]).alias("start"), x["hit"].alias("hit")))).alias("hits"))
+        pairs = F.transform(z["h"], lambda x, i: F.struct(F.length(F.element_at(z["p"], i + 1)).alias("skip"), x.alias("hit")))
+        none = F.array().cast("array<struct<start:int,hit:string>>")
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("hits")), step, lambda a: a["hits"])
 
     return T.let(flat, lambda t: T.let(
         F.struct(F.regexp_extract_all(t, F.lit(PROFILE), F.lit(0)).alias("h"), F.split(t, PROFILE, -1).alias("p")),
-        lambda z: F.array_compact(F.transform(z["h"], lambda x, i: one(x, i, z["p"], z["h"])))))
+        lambda z: F.array_compact(F.transform(placed(z), lambda h, i: one(t, h, i)))))
 
 
 def pick_buyer(profiles: Column, owner: Column) -> Column:

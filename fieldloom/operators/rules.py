@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import similarity as Sim
 from ..functions import text as T
@@ -59,14 +59,14 @@ def boundary_pattern(direction: str) -> str:
 
 def field_labels(spark: SparkSession, keys: Sequence[str], labels: dict[str, Sequence[str]] | None = None,
                  alias_path: str | None = None) -> DataFrame:
-    """``(field_key, label, label_rank, anchor)``, longest label first: the caller's labels, the alias dictionary, or the key's words."""
+    """``(field_key, label, label_rank, anchor)``, longest label first: the caller's labels, the alias table (any size) at
+    ``alias_path``, the built-in aliases, or the key's words where a key has none."""
+    if labels is None and alias_path is not None:
+        return _table_labels(spark, keys, alias_path)
     if labels is None:
-        rows = sorted(Dic.builtin_alias_rows(), key=lambda r: (r[0], r[2], r[4])) if alias_path is None else [
-            tuple(r) for r in Dic.aliases(spark, alias_path).filter(F.col("field_key").isin(list(keys)))
-            .orderBy("dict_rank", "key_rank", "alias_rank").limit(L.MAX_LABELS).collect()]
         labels = {}
         first_dict: dict[str, int] = {}
-        for d, key, _, alias, _ in rows:
+        for d, key, _, alias, _ in sorted(Dic.builtin_alias_rows(), key=lambda r: (r[0], r[2], r[4])):
             if first_dict.setdefault(key, d) == d:
                 labels.setdefault(key, []).append(alias)
     out = []
@@ -76,6 +76,18 @@ def field_labels(spark: SparkSession, keys: Sequence[str], labels: dict[str, Seq
     return spark.createDataFrame(out, "field_key string, label string, label_rank int, anchor string")
 
 
+def _table_labels(spark: SparkSession, keys: Sequence[str], path: str) -> DataFrame:
+    """Labels from an alias table: the first dictionary that has a key gives all its labels; ranked within each key."""
+    wanted = spark.createDataFrame([(k, Dic.words_of(k)) for k in keys], "field_key string, words string")
+    rows = Dic.aliases(spark, path).join(F.broadcast(wanted.select("field_key")), "field_key")
+    first = rows.groupBy("field_key").agg(F.min("dict_rank").alias("dict_rank"))
+    own = rows.join(first, ["field_key", "dict_rank"]).select("field_key", F.col("alias").alias("label"), "key_rank", "alias_rank")
+    bare = wanted.join(first, "field_key", "left_anti").select("field_key", F.col("words").alias("label"), F.lit(0).alias("key_rank"), F.lit(0).alias("alias_rank"))
+    order = Window.partitionBy("field_key").orderBy(F.length("label").desc(), "key_rank", "alias_rank", "label")
+    ranked = own.unionByName(bare).withColumn("label_rank", F.row_number().over(order) - 1)
+    return L.label_dim_of(ranked.select("field_key", "label", "label_rank"))
+
+
 def stop_labels(spark: SparkSession, aliases: Sequence[str] | None = None) -> DataFrame:
     """Labels that end a value: all aliases but the generic words."""
     names = aliases if aliases is not None else [a for _, _, _, a, _ in Dic.builtin_alias_rows()]
@@ -83,12 +95,12 @@ def stop_labels(spark: SparkSession, aliases: Sequence[str] | None = None) -> Da
     return L.label_dim(spark, kept).select(F.col("label").alias("stop"), "anchor")
 
 
-def rule_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def rule_lines(docs: DataFrame, key: str = "doc_id", following: int = FOLLOWING_LINES) -> DataFrame:
     """Non-blank lines with their position and the lines that follow: ``i, line_no, text, ahead``."""
     def rows(ls: Column) -> Column:
         kept = F.filter(F.transform(ls, lambda x, n: F.struct((n + 1).alias("line_no"), x.alias("text"))), lambda r: r["text"] != "")
         return T.let(kept, lambda ks: F.transform(ks, lambda r, i: F.struct(
-            i.alias("i"), r["line_no"].alias("line_no"), r["text"].alias("text"), F.slice(ks, i + 2, FOLLOWING_LINES).alias("ahead"))))
+            i.alias("i"), r["line_no"].alias("line_no"), r["text"].alias("text"), F.slice(ks, i + 2, following).alias("ahead"))))
 
     return (
         docs.select(key, F.explode_outer(T.let(T.stripped_lines(F.col("text")), rows)).alias("r"))
@@ -200,14 +212,17 @@ def multiline_rule(hits: DataFrame, dim: DataFrame, stops: DataFrame, key: str =
     return g.select(key, "field_key", *_row("multiline", value, F.col("line_no"), F.col("label"), F.col("label_rank")))
 
 
-def _open_lines(lines: DataFrame, open_fields: DataFrame, key: str) -> DataFrame:
-    return lines.join(open_fields, key)
-
-
 def contains_rule(lines: DataFrame, open_fields: DataFrame, dim: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The label anywhere in the line, for the fields still open."""
-    d = dim.filter(F.length("label") >= 3).select("field_key", "label", "label_rank")
-    h = _open_lines(lines, open_fields, key).join(F.broadcast(d), "field_key").filter(F.lower("text").contains(F.lower("label")))
+    """The label anywhere in the line, for the fields still open.
+
+    Lines and labels meet on the label's first three letters, which the line must hold; the whole label is checked then.
+    """
+    d = dim.filter(F.length("label") >= 3).select("field_key", "label", "label_rank", F.substring(F.lower("label"), 1, 3).alias("gram"))
+    wanted = lines.join(open_fields.select(key).distinct(), key, "left_semi").filter(F.length("text") >= 3)
+    low = F.lower("text")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
+    starts = wanted.select(key, "i", "line_no", "text", F.explode(grams).alias("gram"))
+    h = starts.join(d, "gram").filter(F.lower("text").contains(F.lower("label"))).join(open_fields, [key, "field_key"], "left_semi")
     at = F.call_function("locate", F.lower("label"), F.lower("text"))
     rest = T.strip_separators(T.strip(F.substr("text", at + F.length("label"))))
     return h.withColumn("rest", rest).filter("rest <> ''").select(
@@ -270,11 +285,13 @@ def open_requests(docs: DataFrame, keys: Sequence[str], stored: DataFrame | None
 
 
 def cascade(docs: DataFrame, keys: Sequence[str], labels: dict[str, Sequence[str]] | None = None,
-            stored: DataFrame | None = None, stops: Sequence[str] | None = None, key: str = "doc_id") -> DataFrame:
+            stored: DataFrame | None = None, stops: Sequence[str] | None = None, key: str = "doc_id", alias_path: str | None = None) -> DataFrame:
     """All rules in order; the first hit per document and field wins."""
     spark = docs.sparkSession
-    dim, stop = field_labels(spark, keys, labels), stop_labels(spark, stops)
+    dim, stop = field_labels(spark, keys, labels, alias_path), stop_labels(spark, stops)
     wanted = open_requests(docs, keys, stored, key)
+    if stored is not None:  # documents without an open field are not read further
+        docs = docs.join(wanted.select(key).distinct(), key, "left_semi")
     # every rule reads the lines, and three of them the label hits
     lines = rule_lines(docs, key).persist()
     hits = label_hits(lines, dim).persist()

@@ -15,7 +15,11 @@ from ..session import shared_folder
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared folder; a local one only where none is set (tests)."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="fieldloom-")
+    base = shared_folder(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-fieldloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
