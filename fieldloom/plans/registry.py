@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries", "analytics_queries", "resolve_queries", "mapping_queries", "derive_queries", "rule_queries", "layout_queries", "stream_queries", "lookup_queries"]
+MODULES = ["text_queries", "analytics_queries", "resolve_queries", "mapping_queries", "derive_queries", "rule_queries", "layout_queries", "stream_queries", "lookup_queries",
+           "scored_queries"]
 
 
 def _gather(attr: str) -> dict:

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows_of
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["b1_corpus_cleaning", "c1_sections", "c4_key_value_same_line", "c15_duplicate_merge", "d1_canonical_key", "e4_same_line_rule", "f9_field_validation",
+NAMES = ["b1_corpus_cleaning", "c1_sections", "c4_key_value_same_line", "c15_duplicate_merge", "d1_canonical_key", "e4_same_line_rule", "e13_free_text_candidates", "e16_rejected_candidates", "e18_best_candidates", "e21_requested_fields", "f9_field_validation",
          "g4_table_fields", "g9_template_mapping", "h1_field_metrics", "h6_accuracy", "j2_running_metrics"]
 
 
