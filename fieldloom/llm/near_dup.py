@@ -7,11 +7,13 @@ similarity most exactly where it is high, so that few wrong candidates reach the
 Buckets of equal band values are worked off in rounds. In the first, every member of a bucket meets one member, the
 centre; confirmed links give components. Then only buckets that still hold more than one component go on, with more
 centres each round until every member is one. So a large group of copies costs a row for each member and band, false
-neighbours in it are still compared with all, and no bucket has a cap.
+neighbours in it are still compared with all, and no bucket has a cap. A bucket whose pairs across components are few for
+its size is finished at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,10 @@ ROWS, BANDS = 4, 28
 SKETCH_BITS = 512
 #: a pair of similarity 0.8 is below this estimate once in some 10^7 cases
 SKETCH_FLOOR = 0.55
-FIRST_CENTRES = 8
+WORDS = SKETCH_BITS // 64
+FIRST_CENTRES = 16
+#: a bucket with at most so many pairs across components for each member is finished at once
+EASY_PAIRS = 64
 #: up to so many ids go to all tasks (8 MB); more are joined by shuffle
 FEW_IDS = 1_000_000
 
@@ -125,11 +130,18 @@ def _sets(width: int):
     return sets
 
 
-def _sketch_similarity(a: Column, b: Column) -> Column:
-    """Similarity from the ones in the XOR of two odd sketches of ROWS * BANDS samples each."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    odd = F.least(2.0 * ones / SKETCH_BITS, F.lit(0.999999))
-    return 1 + SKETCH_BITS / (4.0 * ROWS * BANDS) * F.log(1 - odd)
+def _close(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and odd sketches of two rows (n_shingles, k0 to k7 behind the prefixes) allow the similarity.
+
+    With k samples on each side the XOR of two sketches of n bits has n / 2 * (1 - exp(-4 * k * (1 - s) / n)) ones at
+    similarity s; pairs with more ones than SKETCH_FLOOR would give are out.
+    """
+    most = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * ROWS * BANDS * (1 - SKETCH_FLOOR * percent / 80) / SKETCH_BITS)))
+    ones = F.bit_count(F.col(a + "k0").bitwiseXOR(F.col(b + "k0")))
+    for i in range(1, WORDS):
+        ones = ones + F.bit_count(F.col(f"{a}k{i}").bitwiseXOR(F.col(f"{b}k{i}")))
+    n, m = F.col(a + "n_shingles"), F.col(b + "n_shingles")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (ones <= most)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,6 +164,18 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("node", F.col("c").alias("component"))
 
 
+def _joined(top: DataFrame | None, links: DataFrame, turn: int) -> DataFrame:
+    """The components after some more links: only components that the links touch are joined anew."""
+    if top is None:
+        return components(links)
+    of = lambda k: top.select(F.col("node").alias(k), F.col("component").alias("c" + k))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(cut(between.where("a != b").distinct(), f"between{turn}")).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    alone = over.select(F.col("old").alias("node"), F.col("old").alias("component")).join(top, "node", "left_anti")
+    every = top.unionByName(alone)
+    return cut(every.join(over, every["component"] == over["old"], "left").select("node", F.coalesce("new", "component").alias("component")), f"top{turn}")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -185,43 +209,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a node is a distinct set; its carrier is the smallest id that has it
     nodes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("carrier"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
-    light = nodes.select("node", "n_shingles", "sketch")
+    light = nodes.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"k{i}") for i in range(WORDS)])
+    side = lambda df, at, prefix: df.select(*[F.col(c).alias(at if c == "node" else c if c == "key" else prefix + c) for c in df.columns])
     bands = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("key"))
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(bands.join(crowded, "key").withColumn("c", F.col("node")), "members")
-    links: DataFrame | None = None
     tried: DataFrame | None = None
     top: DataFrame | None = None
     turn = 0
     while True:
-        several = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(
-            F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("c").alias("cc"))).alias("m")).where("lo != hi")
         if turn == 0:
-            centres, reach = several.select("key", "m.centre", "m.cc"), F.lit(2)
+            centres = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"))).alias("m")).select("key", "m.centre")
+            met = member.join(centres, "key").where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+            close = met.join(side(light, "b", "b_"), "b").join(side(light, "a", "a_"), "a").where(_close("a_", "b_", percent)).select("a", "b")
+            done = F.col("n") <= 2
         else:
-            # a growing share of each bucket, the same members in all buckets; at last every member
-            reach = F.lit(FIRST_CENTRES * 4 ** (turn - 1))
-            drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) <= reach / F.col("n")
-            centres = member.join(several.select("key"), "key").where(drawn).select("key", F.col("node").alias("centre"), F.col("c").alias("cc"))
-        met = member.join(centres, "key").where("c != cc")
-        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+            # where few pairs lie across components, all of them are met: one side of each is outside the largest
+            # component; else a growing share of the members, the same in all buckets, are centres
+            parts = member.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(
+                F.sum(F.col("s") * F.col("s")).alias("inner"), F.count("*").alias("k"), F.max(F.struct("s", "c")).alias("most"))
+            member = cut(member.select("key", "node", "n", "c").join(parts.where("k > 1").select("key", "inner", F.col("most.c").alias("major")), "key"), f"open{turn}")
+            share = F.lit(FIRST_CENTRES * 16.0 ** (turn - 1)) / F.col("n")
+            done = ((F.col("n") * F.col("n") - F.col("inner")) / 2 <= EASY_PAIRS * F.col("n")) | (share >= 1)
+            drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) <= share
+            open_ = member.join(light, "node")
+            centres = open_.where((done & (F.col("c") != F.col("major"))) | (~done & drawn)).drop("n", "inner", "major")
+            left, right = side(open_.drop("n", "inner", "major"), "a", "a_"), side(centres, "b", "b_")
+            met = left.join(right, (left["key"] == right["key"]) & (F.col("a_c") != F.col("b_c")) & _close("a_", "b_", percent))
+            close = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, f"pairs{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        side = lambda k: light.select(F.col("node").alias(k), F.col("n_shingles").alias("n" + k), F.col("sketch").alias("k" + k))
-        close = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(
-            (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-            & (_sketch_similarity(F.col("ka"), F.col("kb")) >= SKETCH_FLOOR)).select("a", "b"), f"close{turn}")
+            close = close.join(tried, ["a", "b"], "left_anti")
+        close = cut(close, f"close{turn}")
+        tried = close if tried is None else tried.unionByName(close)
         if close.take(1):
             wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
             sets = cut(_sets_of(docs, cut(nodes.select("node", "carrier").join(wanted, "node"), f"wanted{turn}"), width), f"sets{turn}")
             good = cut(_confirmed(close, sets, percent), f"links{turn}")
-            links = good if links is None else links.unionByName(good)
-            top = components(links)
+            top = _joined(top, good, turn)
             member = member.drop("c").join(top.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        # done are buckets of one component, and those in which every member was a centre
-        member = cut(member.where(F.col("n") > reach), f"members{turn}")
+        member = cut(member.where(~done), f"members{turn}")
         turn += 1
         if not member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").take(1):
             break
