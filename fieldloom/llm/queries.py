@@ -81,7 +81,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op3_line_cleaning")
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_BLANKS = "[\\x20\\x09-\\x0D]"
+OP3_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS nr FROM t),
+l1 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) > 1 AS seen, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
+              length(line) - length(regexp_replace(line, '[|»›·]', '', 'g')) AS bars, length(line) - length(regexp_replace(line, '[#*$%&<>]', '', 'g')) AS signs
+       FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+l2 AS (SELECT *, CASE WHEN regexp_matches(line, {_sql_text('(?i)' + line_rules._NAVIGATION.pattern)}) OR bars * 3 > n THEN 'navigation'
+                      WHEN seen OR regexp_matches(line, {_sql_text('(?i)' + line_rules._BOILERPLATE.pattern)}) THEN 'boilerplate'
+                      WHEN signs > {line_rules.SYMBOLS_PER_WORD} * n OR (n < {line_rules.FRAGMENT_WORDS} AND NOT regexp_matches(line, {_sql_text(line_rules._END.pattern)})) THEN 'punctuation' END AS fault FROM l1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE seen) AS n_dup_lines, count(*) FILTER (WHERE fault = 'punctuation') AS n_punctuation,
+             count(*) FILTER (WHERE fault = 'navigation') AS n_navigation, count(*) FILTER (WHERE fault = 'boilerplate') AS n_boilerplate,
+             coalesce(sum(length(regexp_replace(line, '{_BLANKS}', '', 'g'))) FILTER (WHERE fault IS NULL), 0) AS good FROM l2 GROUP BY 1),
+b AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '{_BLANKS}', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_punctuation, 0) AS n_punctuation,
+             coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(good, 0) AS good
+      FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
+       NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words) AND good >= {line_rules.KEEP_SHARE} * word_chars AS kept,
+       n_lines, n_punctuation, n_navigation, n_boilerplate FROM b
+"""
+
+
+@query("op3_line_cleaning", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(documents(spark, sf_dir), ["doc_id"]).drop("clean_text")
 
