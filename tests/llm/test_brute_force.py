@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from conftest import prose
+from invented import prose
 
 from fieldloom.llm import decontam, language, line_rules, mixing, near_dup, queries, secrets, sharding, surrogates, tokens, toxicity
 

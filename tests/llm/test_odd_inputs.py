@@ -14,7 +14,7 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def bench_dir(spark, tmp_path_factory):
-    from conftest import prose
+    from invented import prose
 
     d = tmp_path_factory.mktemp("bench")
     spark.createDataFrame([(1, prose(77, 30)), (2, None), (None, "x y z"), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
