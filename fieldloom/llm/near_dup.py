@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .base import _mixed, cut, hashed_words, text_blocks
 
 ROWS, BANDS = 4, 28
-SKETCH_BITS = 512
-#: a pair of similarity 0.8 is below this estimate once in some 10^7 cases
-SKETCH_FLOOR = 0.55
+#: MinHash samples in a sketch: those of the bands and twice as many more
+SAMPLES = 3 * ROWS * BANDS
+SKETCH_BITS = 2048
+#: a pair of similarity 0.8 is below this estimate once in some 10^5 cases
+SKETCH_FLOOR = 0.70
 WORDS = SKETCH_BITS // 64
-FIRST_CENTRES = 16
-#: a bucket with at most so many pairs across components for each member is finished at once
-EASY_PAIRS = 64
+FIRST_CENTRES = 8
+#: after the first sample of centres, a bucket with at most so many pairs across components for each member is finished at once
+EASY_PAIRS = 32
 #: up to so many ids go to all tasks (8 MB); more are joined by shuffle
 FEW_IDS = 1_000_000
 
@@ -46,7 +48,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
     A-Z in lower case, words between ASCII white space; a text of fewer than ``width`` words has one shingle, its whole
     word sequence; without words it has none.
     """
-    for first, end, data, offs in text_blocks(texts):
+    for first, end, data, offs in text_blocks(texts, 1 << 19):
         _, _, row, h = hashed_words(_LOWER[data], offs, _INSIDE)
         n_rows = end - first
         words = np.bincount(row, minlength=n_rows)
@@ -76,8 +78,8 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
 
 def _signatures(width: int):
     rng = np.random.default_rng(20240611)
-    a = rng.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, ROWS * BANDS, np.uint64)
+    a = rng.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, SAMPLES, np.uint64)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +97,9 @@ def _signatures(width: int):
                         low = np.stack([np.minimum.reduceat((hashes * x + y) >> np.uint64(24), start) for x, y in zip(a, b, strict=True)], 1)
                         key = np.zeros((len(some), BANDS), np.uint64)
                         for r in range(ROWS):
-                            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r::ROWS])
+                            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r:ROWS * BANDS:ROWS])
                         bands[some] = _mixed(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                        at = (_mixed(low + np.arange(ROWS * BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                        at = (_mixed(low + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) % np.uint64(SKETCH_BITS)).astype(np.int64)
                         bits = np.zeros((len(some), SKETCH_BITS), np.uint8)
                         np.add.at(bits, (np.arange(len(some))[:, None], at), 1)
                         sketch[some] = np.packbits(bits & 1, axis=1).view(np.int64)
@@ -136,7 +138,7 @@ def _close(a: str, b: str, percent: int) -> Column:
     With k samples on each side the XOR of two sketches of n bits has n / 2 * (1 - exp(-4 * k * (1 - s) / n)) ones at
     similarity s; pairs with more ones than SKETCH_FLOOR would give are out.
     """
-    most = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * ROWS * BANDS * (1 - SKETCH_FLOOR * percent / 80) / SKETCH_BITS)))
+    most = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - SKETCH_FLOOR * percent / 80) / SKETCH_BITS)))
     ones = F.bit_count(F.col(a + "k0").bitwiseXOR(F.col(b + "k0")))
     for i in range(1, WORDS):
         ones = ones + F.bit_count(F.col(f"{a}k{i}").bitwiseXOR(F.col(f"{b}k{i}")))
@@ -224,13 +226,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             close = met.join(side(light, "b", "b_"), "b").join(side(light, "a", "a_"), "a").where(_close("a_", "b_", percent)).select("a", "b")
             done = F.col("n") <= 2
         else:
-            # where few pairs lie across components, all of them are met: one side of each is outside the largest
-            # component; else a growing share of the members, the same in all buckets, are centres
+            # a growing share of the members, the same in all buckets, are centres, until few pairs lie across components:
+            # then all of them are met, as one side of each is outside the largest component
             parts = member.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(
                 F.sum(F.col("s") * F.col("s")).alias("inner"), F.count("*").alias("k"), F.max(F.struct("s", "c")).alias("most"))
             member = cut(member.select("key", "node", "n", "c").join(parts.where("k > 1").select("key", "inner", F.col("most.c").alias("major")), "key"), f"open{turn}")
             share = F.lit(FIRST_CENTRES * 16.0 ** (turn - 1)) / F.col("n")
-            done = ((F.col("n") * F.col("n") - F.col("inner")) / 2 <= EASY_PAIRS * F.col("n")) | (share >= 1)
+            across = (F.col("n") * F.col("n") - F.col("inner")) / 2
+            done = (share >= 1) | (across <= EASY_PAIRS * F.col("n") if turn > 1 else F.lit(False))
             drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) <= share
             open_ = member.join(light, "node")
             centres = open_.where((done & (F.col("c") != F.col("major"))) | (~done & drawn)).drop("n", "inner", "major")
