@@ -206,7 +206,9 @@ def with_surrogates(docs: DataFrame, key: str = "fieldloom") -> DataFrame:
     # one row for each text with such a part, bounded by the parts of the text
     own = held.join(redrawn, ["kind", "canon"]).groupBy("text_key").agg(
         F.map_from_entries(F.collect_list(F.struct(name(F.col("kind"), F.col("canon")), "s"))).alias("redrawn"))
-    both = rows.join(own, "text_key", "left")
+    # texts without entities take no part in the join: they have no key and would all meet in one task
+    both = rows.where("parts is not null").join(own, "text_key", "left").unionByName(
+        rows.where("parts is null").withColumn("redrawn", F.lit(None).cast("map<string,string>")))
     put = lambda p: F.when(p["kind"] < 0, p["raw"]).otherwise(_written(p, F.coalesce(
         F.element_at("redrawn", name(p["kind"], p["canon"])), surrogate(p["kind"], p["canon"], F.lit(0), key))))
     entities = F.filter("parts", lambda p: (p["kind"] >= 0) & ~p["kind"].isin(HOST, MALE, FEMALE, GIVEN))
