@@ -54,10 +54,11 @@ _CARD = r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)"
 MALE_TITLES, FEMALE_TITLES = f"{MALE_TITLES} {MALE_TITLES.upper()}", f"{FEMALE_TITLES} {FEMALE_TITLES.upper()}"
 _ALL_TITLES = _any(f"{MALE_TITLES} {FEMALE_TITLES} {TITLES} {TITLES.upper()}")
 _ALL_GIVEN = _any(f"{MALE_LATIN} {FEMALE_LATIN} {MALE_CYRILLIC} {FEMALE_CYRILLIC} {MALE_GREEK} {FEMALE_GREEK}")
-_NAME = rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_LETTERS}(?: (?!(?:{_ALL_TITLES})\b){_LETTERS})?|(?:{_ALL_GIVEN}) {_LETTERS})"
+# the look-ahead lets most places fail before the names are tried
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_LETTERS}(?: (?!(?:{_ALL_TITLES})\b){_LETTERS})?|(?:{_ALL_GIVEN}) {_LETTERS})"
 ENTITY = "|".join([_MAIL, _IBAN, _IP, _SSN, _PHONE, _CARD, _NAME])
 #: true for every text with an entity, and cheap
-_HINT = rf"[0-9@]|(?:{_ALL_TITLES})\.? |(?:{_ALL_GIVEN}) "
+_HINT = rf"[0-9@]|(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? |(?:{_ALL_GIVEN}) )"
 PART = "struct<kind:int,raw:string,canon:string>"
 
 
