@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare word n-grams of test items find passages, local alignment decides.
-
-Words are runs of letters and digits in lower case. For each block of test items one pass over the documents counts in
-how many of them each n-gram of the items stands; those far more common than the item's usual n-gram are no seeds. A
-second pass joins the words of each document with the seeds, cuts a passage around the hits of an item, and aligns
-passage and item by Smith-Waterman on words. So exact, edited and paraphrased copies that keep one rare n-gram are found;
-documents are never shuffled. Items come in blocks of at most BLOCK_GRAMS n-grams (24 MB with positions), so that what
-tasks hold is bounded; more blocks mean more passes.
+"""Benchmark decontamination: pairs of neighbouring words find passages, local alignment decides.
+
+Words are runs of letters and digits in lower case. A document holds a copy of an item of L words if a local alignment of
+words (match 2, mismatch and gap -1) reaches min_score * 2 * L, and at least 2 * GRAM. No such copy is lost before the
+alignment: in an alignment of m matches and e errors, two matches in sequence with no error between them are a pair of
+neighbours on both sides, those with one error a pair at distance 1 or 2 on each side, all others have two errors or more;
+so score = 2m - e gives 2 * (pairs without error) + (pairs with one) >= score - 2. For each block of test items one
+pass over the documents counts in how many of them each pair stands. The most common quarter (of this sum) of an item's
+pairs is left out and taken off the sum that its others must reach. A second pass adds up the pairs of each document, first
+in all of it, then in a window of the length that such an alignment can have, and aligns what reaches the sum.
+Documents are never shuffled. Items come in blocks of at most BLOCK_GRAMS pairs (24 MB with positions), so that what tasks
+hold is bounded; more blocks mean more passes.
 """
 
 from __future__ import annotations
@@ -15,33 +19,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .base import _mixed, cut, hashed_words, text_blocks
 
 GRAM = 3
-RARE_TIMES = 4
+LEFT_OUT = 4
 BLOCK_GRAMS = 1_000_000
 MIN_SCORE = 0.5
+GAPS = (1, 2)
 MATCH, MISMATCH, GAP = 2, -1, -1
-SLACK = 8
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def _word_grams(texts: pa.Array, n: int):
-    """Blocks of (first row, bytes, word starts, word ends, word rows, word hashes, gram hashes, is a gram)."""
+def _words(texts: pa.Array):
+    """Blocks of (first row, end row, word rows, word hashes)."""
     for first, end, data, offs in text_blocks(pc.utf8_lower(texts)):
-        start, stop, row, h = hashed_words(data, offs, _LETTER)
-        gram, whole = h.copy(), np.ones(len(h), bool)
-        with np.errstate(over="ignore"):
-            for k in range(1, n):
-                gram[:max(0, len(h) - k)] = _mixed(gram[:max(0, len(h) - k)] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
-        whole[max(0, len(h) - n + 1):] = False
-        if len(h) >= n:
-            whole[:len(h) - n + 1] &= row[:len(h) - n + 1] == row[n - 1:]
-        yield first, end, data, start, stop, row, h, gram, whole
+        _, _, row, h = hashed_words(data, offs, _LETTER)
+        yield first, end, row, h
+
+
+def _pairs(row: np.ndarray, h: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and the word ``gap`` behind it, and whether that one is in the same text."""
+    n = max(0, len(h) - gap)
+    pair, whole = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
+    with np.errstate(over="ignore"):
+        pair[:n] = _mixed(_mixed(h[:n] * np.uint64(0x9E3779B97F4A7C15)) + h[len(h) - n:])
+    whole[:n] = row[:n] == row[len(h) - n:]
+    return pair, whole
 
 
 class Grams:
@@ -60,37 +67,47 @@ class Grams:
 
 
 def item_grams(benchmark: DataFrame, gram: int = GRAM) -> DataFrame:
-    """item_id, words (array of hashes), pos and gram (hash) for each n-gram of each item (item_id, text)."""
+    """item_id, n (words), words (array of hashes, once), pos, gap (1 or 2) and gram (hash) for each pair of words of each item
+    (item_id, text) of at least ``gram`` words."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, _, _, _, row, h, g, whole in _word_grams(batch.column("text"), gram):
+            for first, end, row, h in _words(batch.column("text")):
                 ids = batch.column("item_id").slice(first, end - first).to_pylist()
                 begin = np.searchsorted(row, np.arange(end - first + 1))
                 for r, item in enumerate(ids):
-                    a, b = begin[r], begin[r + 1]
-                    at = np.flatnonzero(whole[a:b])
-                    if len(at):
-                        yield pa.RecordBatch.from_pydict({
-                            "item_id": pa.array([item] * len(at), pa.int64()), "words": pa.array([h[a:b].view(np.int64)] + [None] * (len(at) - 1), pa.list_(pa.int64())),
-                            "pos": pa.array(at, pa.int64()), "gram": pa.array(g[a:b][at].view(np.int64))})
+                    own = h[begin[r]:begin[r + 1]]
+                    if len(own) < gram:
+                        continue
+                    for gap in GAPS:
+                        pair, whole = _pairs(np.zeros(len(own), int), own, gap)
+                        at = np.flatnonzero(whole)
+                        if len(at):
+                            words = [own.view(np.int64) if gap == GAPS[0] else None] + [None] * (len(at) - 1)
+                            yield pa.RecordBatch.from_pydict({
+                                "item_id": pa.array([item] * len(at), pa.int64()), "n": pa.array([len(own)] * len(at), pa.int64()),
+                                "words": pa.array(words, pa.list_(pa.int64())), "pos": pa.array(at, pa.int64()),
+                                "gap": pa.array([gap] * len(at), pa.int64()), "gram": pa.array(pair[at].view(np.int64))})
 
     return benchmark.where("item_id is not null and text is not null").select("item_id", "text").mapInArrow(
-        grams, "item_id long, words array<long>, pos long, gram long")
+        grams, "item_id long, n long, words array<long>, pos long, gap long, gram long")
 
 
-def document_frequency(docs: DataFrame, grams: np.ndarray, gram: int = GRAM) -> DataFrame:
-    """gram, df: the number of documents that hold each of the given n-grams."""
+def document_frequency(docs: DataFrame, grams: np.ndarray) -> DataFrame:
+    """gram, df: the number of documents that hold each of the given pairs, at distance 1 or 2."""
     wanted = docs.sparkSession.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Grams(wanted.value)
         total = np.zeros(len(table.hashes), np.int64)
         for batch in batches:
-            for _, _, _, _, _, row, _, g, whole in _word_grams(batch.column("text"), gram):
-                at = table.found(g, whole)
-                pairs = np.unique(row[at] * len(table.hashes) + np.searchsorted(table.hashes, g[at]))
-                total += np.bincount(pairs % len(table.hashes), minlength=len(table.hashes))
+            for _, _, row, h in _words(batch.column("text")):
+                seen = []
+                for gap in GAPS:
+                    pair, whole = _pairs(row, h, gap)
+                    at = table.found(pair, whole)
+                    seen.append(row[at] * len(table.hashes) + np.searchsorted(table.hashes, pair[at]))
+                total += np.bincount(np.unique(np.concatenate(seen)) % len(table.hashes), minlength=len(table.hashes))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(table.hashes[seen].view(np.int64)), "df": pa.array(total[seen])})
 
@@ -113,48 +130,98 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _needed(n, gram: int, min_score: float):
+    """The least score of an alignment that makes a copy of an item of n words."""
+    return np.maximum(np.ceil(min_score * MATCH * n - 1e-9).astype(int), MATCH * np.minimum(gram, n))
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins (sorted arrays)."""
+    first = np.ones(len(keys[0]), bool)
+    if len(first):
+        first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return first
+
+
 class Seeds:
-    """What a task needs of a block of items: their words, and the seeds sorted by hash."""
+    """What a task needs of a block of items: their words, and the pairs sorted by hash."""
 
-    def __init__(self, gram: np.ndarray, item: np.ndarray, pos: np.ndarray, words: dict[int, np.ndarray]) -> None:
+    def __init__(self, gram: np.ndarray, item: np.ndarray, pos: np.ndarray, gap: np.ndarray, words: dict[int, np.ndarray], least: int, min_score: float) -> None:
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.pos, self.words = gram[order], item[order], pos[order], words
+        self.ids = np.array(sorted(words), np.int64)
+        self.gram, self.item, self.pos, self.gap = gram[order], np.searchsorted(self.ids, item[order]), pos[order], gap[order]
+        self.words = [words[i] for i in self.ids.tolist()]
+        n = np.array([len(w) for w in self.words])
+        self.needed = _needed(n, least, min_score)
+        # what the pairs that are not left out must reach; the words of a document that an alignment can span
+        self.sum, self.span = self.needed - 2 - 2 * ((self.needed - 2) // LEFT_OUT), 3 * n - self.needed
         self.table = Grams(self.gram)
 
-    def matches(self, texts: pa.Array, n: int, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def _begins(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """item (index) and word from which on the pairs within its span reach its sum, sorted by row, item and word."""
+        ats, ks, weights = [], [], []
+        for gap in GAPS:
+            pair, whole = _pairs(row, h, gap)
+            at = self.table.found(pair, whole)
+            lo = np.searchsorted(self.gram, pair[at], "left")
+            times = np.searchsorted(self.gram, pair[at], "right") - lo
+            k = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+            ats.append(np.repeat(at, times))
+            ks.append(k)
+            weights.append(1 + ((self.gap[k] == 1) & (gap == 1)))
+        at, k, weight = np.concatenate(ats), np.concatenate(ks), np.concatenate(weights)
+        for name in ("all", "position"):  # all pairs of a text and item, then the best of each position of the item
+            both = row[at] * len(self.ids) + self.item[k]
+            if name == "position":
+                order = np.lexsort((-weight, self.pos[k], both))
+                own = order[_first_of(both[order], self.pos[k][order])]
+            else:
+                own = slice(None)
+            groups, group = np.unique(both, return_inverse=True)
+            total = np.bincount(group[own], weights=weight[own], minlength=len(groups))
+            keep = (total >= self.sum[groups % len(self.ids)])[group]
+            at, k, weight = at[keep], k[keep], weight[keep]
+        # one pair for each word of the text, then windows
+        both = row[at] * len(self.ids) + self.item[k]
+        order = np.lexsort((-weight, at, both))
+        order = order[_first_of(both[order], at[order])]
+        at, item, weight = at[order], self.item[k][order], weight[order]
+        stretch = (np.cumsum(_first_of(both[order])) - 1) * (2 * len(h) + 2) + at
+        upto = np.concatenate([[0], np.cumsum(weight)])
+        reach = upto[np.searchsorted(stretch, stretch + np.minimum(self.span[item], len(h)), "right")] - upto[:-1]
+        full = reach >= self.sum[item]
+        return item[full], at[full]
+
+    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """row, item, score (share of the best possible), and the first and end word of the passage in the document."""
-        for first, _, _, _, _, row, h, g, whole in _word_grams(texts, n):
-            at = self.table.found(g, whole)
-            lo, hi = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-            at, k = np.repeat(at, hi - lo), np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)] or [np.empty(0, int)])
-            begin = at - self.pos[k]  # where the item would start
-            order = np.lexsort((begin, self.item[k], row[at]))
-            rows, items, begins = row[at][order], self.item[k][order], begin[order]
-            best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            last = (-1, -1)
-            until = 0
-            known: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for r, i, b in zip(rows.tolist(), items.tolist(), begins.tolist(), strict=True):
-                words = self.words[i]
-                if (r, i) == last and b <= until:
-                    continue  # in the passage that was aligned already
-                last, until = (r, i), b + len(words)
-                a0 = max(int(np.searchsorted(row, r, "left")), b - SLACK)
-                a1 = min(int(np.searchsorted(row, r, "right")), b + 2 * len(words) + SLACK)
-                passage = h[a0:a1]
+        for first, _, row, h in _words(texts):
+            items, begins = self._begins(row, h)
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+            parts: list[list[int]] = []
+            for i, b in zip(items.tolist(), begins.tolist(), strict=True):
+                r, span = int(row[b]), int(self.span[i])
+                if parts and parts[-1][:2] == [r, i] and b - span <= parts[-1][3]:
+                    parts[-1][3] = b + span
+                else:
+                    parts.append([r, i, b - span, b + span])
+            for r, i, a, b in parts:
+                zero = int(np.searchsorted(row, r, "left"))
+                a, b = max(zero, a), min(int(np.searchsorted(row, r, "right")), b)
+                passage = h[a:b]
                 key = (i, passage.tobytes())
                 if key not in known:
-                    known[key] = aligned(words, passage)
-                score, end = known[key]
-                share = score / (MATCH * len(words))
-                if share >= min_score and share > best.get((r, i), (0.0,))[0]:
-                    zero = int(np.searchsorted(row, r, "left"))
-                    best[r, i] = (share, a0 - zero, a0 + end - zero)
-            for (r, i), (share, a, b) in best.items():
-                yield first + r, i, share, a, b
+                    score, end = aligned(self.words[i], passage)
+                    begin = end - aligned(self.words[i][::-1], passage[:end][::-1])[1] if score >= self.needed[i] else 0
+                    known[key] = score, begin, end
+                score, begin, end = known[key]
+                if score >= self.needed[i] and score > best.get((r, i), (0,))[0]:
+                    best[r, i] = (score, a + begin - zero, a + end - zero)
+            for (r, i), (score, a, b) in best.items():
+                yield first + r, int(self.ids[i]), score / (MATCH * len(self.words[i])), a, b
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, gram: int) -> Iterator[tuple]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, gram: int, min_score: float) -> Iterator[tuple]:
     """The arguments of Seeds for each block of items."""
     grams = cut(item_grams(benchmark, gram), "grams")
     total = grams.count()
@@ -165,32 +232,33 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, gram: int) -> Iterator[tuple]
         hashes = np.array([r[0] for r in own.select("gram").distinct().collect()], np.int64).view(np.uint64)
         if not len(hashes):
             continue
-        df = cut(document_frequency(docs, hashes, gram), f"df{k}")
-        known = own.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        usual = known.groupBy("item_id").agg(F.percentile("df", 0.5).alias("usual"))
-        rare = known.join(usual, "item_id").where(F.col("df") <= F.greatest(F.col("usual"), F.lit(1.0)) * RARE_TIMES)
-        rows = rare.where("df > 0").select("gram", "item_id", "pos").collect()
+        df = cut(document_frequency(docs, hashes), f"df{k}")
+        known = own.join(df, "gram").select("gram", "item_id", "n", "pos", "gap", "df")
+        place = known.groupBy("item_id", "pos").agg(F.sum("df").alias("df"), F.first("n").alias("n"))
+        common = place.withColumn("nth", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("df"), "pos")))
+        rows = known.drop("df", "n").join(common, ["item_id", "pos"]).select("gram", "item_id", "pos", "gap", "n", "nth").collect()
         words = {r["item_id"]: np.array(r["words"], np.int64).view(np.uint64) for r in own.where("words is not null").select("item_id", "words").collect()}
-        part = np.array([[r["gram"], r["item_id"], r["pos"]] for r in rows], np.int64).reshape(-1, 3)
+        part = np.array([list(r) for r in rows], np.int64).reshape(-1, 6)
+        part = part[part[:, 5] > (_needed(part[:, 4], gram, min_score) - 2) // LEFT_OUT]
         if len(part):
-            yield part[:, 0].copy().view(np.uint64), part[:, 1].copy(), part[:, 2].copy(), words
+            yield part[:, 0].copy().view(np.uint64), part[:, 1].copy(), part[:, 2].copy(), part[:, 3].copy(), words, gram, min_score
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: one row for each document and item that it holds a copy of.
 
-    docs needs doc_id and text, benchmark item_id and text. Null or empty texts on either side, items without an
-    n-gram and items without id match nothing. Rows of docs that repeat give one row; a null doc_id is a value. Empty
+    docs needs doc_id and text, benchmark item_id and text. Null or empty texts on either side, items of less than
+    ``gram`` words and items without id match nothing. Rows of docs that repeat give one row; a null doc_id is a value. Empty
     tables give an empty result. Other columns are not read.
     """
     out = None
-    for seeds in _blocks(docs, benchmark, gram):
+    for seeds in _blocks(docs, benchmark, gram, min_score):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = Seeds(*shared.value)
             for batch in batches:
-                rows = list(table.matches(batch.column("text"), gram, min_score))
+                rows = list(table.matches(batch.column("text")))
                 if rows:
                     r, i, s, a, b = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
@@ -205,14 +273,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, min_sc
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs, all columns, that hold no copy of an item."""
-    for seeds in _blocks(docs, benchmark, gram):
+    for seeds in _blocks(docs, benchmark, gram, min_score):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = Seeds(*shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in table.matches(batch.column("text"), gram, min_score)]] = False
+                keep[[m[0] for m in table.matches(batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -158,6 +158,38 @@ def test_leaks_are_found_and_clean_texts_are_not(spark):
     assert sorted(r.doc_id for r in decontam.decontaminated(df, bench).collect()) == [0, 4, 5]
 
 
+def test_edited_copies_are_found_however_many_documents_hold_them(spark):
+    items = [prose(2000 + k, 37) for k in range(3)]
+    w = [i.split() for i in items]
+    edited = [" ".join(f"changed{k}" if k % 4 == 3 else x for k, x in enumerate(w[0])),  # 9 of 35 three-word runs are left
+              " ".join(w[1][:20]),  # a verbatim part
+              " ".join(f"other{k}" if k % 3 == 1 else x for k, x in enumerate(w[2]))]  # no three words in sequence are left
+    docs = [(1000 * k + n, f"{prose(10_000 + 100 * k + n, 60)} {edited[k]} {prose(20_000 + n, 30)}") for k in range(3) for n in range(50)]
+    df = spark.createDataFrame([*docs, (9000, prose(3, 400))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(i, i // 1000) for i, _ in docs}
+    assert [r.doc_id for r in decontam.decontaminated(df, bench).collect()] == [9000]
+
+
+def test_no_alignment_is_lost_before_it_is_made():
+    import numpy as np
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        a = [rnd.randint(0, 25) for _ in range(rnd.randint(3, 20))]
+        b = [x for y in a for x in rnd.choice([[y], [y], [y], [], [99], [y, 98]])]
+        b = [rnd.randint(0, 25) for _ in range(10)] + b + [rnd.randint(0, 25) for _ in range(10)]
+        words, text = (np.array(x, np.uint64) for x in (a, b))
+        pairs = [(p, i, gap) for gap in decontam.GAPS for h, whole in [decontam._pairs(np.zeros(len(a), int), words, gap)] for i, p in enumerate(h[whole].tolist())]
+        gram, pos, gap = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.uint64, int, int), strict=True))
+        left_out = (decontam._needed(np.array([len(a)]), 3, 0.5)[0] - 2) // decontam.LEFT_OUT
+        keep = ~np.isin(pos, rnd.sample(range(len(a) - 1), left_out))
+        seeds = decontam.Seeds(gram[keep], np.zeros(keep.sum(), int), pos[keep], gap[keep], {0: words}, 3, 0.5)
+        if decontam.aligned(words, text)[0] >= seeds.needed[0]:
+            assert len(seeds._begins(np.zeros(len(b), int), text)[0])
+
+
 def test_alignment_equals_the_plain_table():
     import numpy as np
 
