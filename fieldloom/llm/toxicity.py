@@ -1,13 +1,16 @@
 """Toxicity by a weighted lexicon: Aho-Corasick on folded text, exception phrases, length normalisation.
 
-The lexicon is learned from labelled documents: words, and beginnings of words ("stem*", for languages that add endings). A
-term needs a share of toxic documents far above the usual one and varied surroundings: words that come from copies of one
-text stand in the same surroundings again and again. Two-word phrases with a term that clean documents use are exceptions.
+The lexicon is learned from the distinct labelled texts: words, and beginnings of words ("stem*", for languages that add
+endings). A term needs a share of toxic texts far above the usual one, more than chance gives, and some different
+surroundings. Surroundings are counted once however often they occur, and not where they share a neighbour with others that are
+NEAR_TIMES as frequent, as those of edited copies do; so copies neither carry a term nor hide one that other texts carry,
+and no bar rises with the number of texts. Two-word phrases with a term that clean documents use are exceptions.
 The score is the weight of the terms found, the heaviest for each word, over the square root of the number of words, set
 against labelled documents by isotonic regression over BINS levels.
 
-Bounds of the model (a classifier on bounded features): at most MAX_CANDIDATES terms, the most frequent in toxic documents,
-are looked at, at most MAX_TERMS terms and MAX_PHRASES phrases are kept. Counts cover all labelled documents.
+Bounds of the model (a classifier on bounded features): at most MAX_CANDIDATES terms, the most frequent in toxic texts
+of those with the share, are looked at, at most MAX_TERMS terms and MAX_PHRASES phrases are kept. Counts cover all distinct
+labelled texts, the calibration all labelled documents.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ MIN_TOXIC = 5
 STEM_LENGTHS = range(3, 9)
 MIN_RATIO = 4.0
 MIN_CONTEXTS = 4
-MIN_VARIETY = 0.3
+MIN_EVIDENCE = 6.0
+NEAR_TIMES = 8
 BINS = 64
 FEW_LABELS = 1_000_000
 
@@ -124,17 +128,20 @@ def _labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     return cut(rows.join(F.broadcast(own) if few else own, "doc_id").select("text", "toxic"), "labelled")
 
 
-def _counted(rows: DataFrame, terms: list[str] | None, name: str) -> DataFrame:
-    """term and the number of texts that have it, for the given terms or for all."""
-    shared = rows.sparkSession.sparkContext.broadcast(terms)
+def _distinct(rows: DataFrame) -> DataFrame:
+    """The rows without those of equal text and label."""
+    keyed = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    return cut(keyed.dropDuplicates(["h1", "h2", "toxic"]).drop("h1", "h2"), "distinct")
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """term and the number of texts that have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if shared.value is None else set(shared.value)
         for batch in batches:
             total: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                own = {t for w in set(_WORD.findall(folded(text))) for t in terms_of(w)}
-                total.update(own if known is None else own & known)
+                total.update({t for w in set(_WORD.findall(folded(text))) for t in terms_of(w)})
             yield pa.RecordBatch.from_pydict({"term": pa.array(total.keys(), pa.string()), name: pa.array(total.values(), pa.int64())})
 
     return rows.select("text").mapInArrow(count, f"term string, {name} long").groupBy("term").agg(F.sum(name).alias(name))
@@ -143,22 +150,23 @@ def _counted(rows: DataFrame, terms: list[str] | None, name: str) -> DataFrame:
 def learned(docs: DataFrame, labels: DataFrame, learn) -> tuple[dict[str, float], set[str], list[float]]:
     """Weights of terms, exception phrases and the probability of each level, from rows of docs where ``learn`` holds."""
     rows = _labelled(docs, labels, learn)
-    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = _distinct(rows)
+    size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get(True, 0), size.get(False, 0)
     usual = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
     odds = (F.col("t") + usual) / (F.col("c") + 1 - usual) * ((1 - usual) / usual)
-
-    often = cut(_counted(rows.where("toxic"), None, "t").where(F.col("t") >= max(MIN_TOXIC, n_toxic // 500))
-                .orderBy(F.desc("t"), "term").limit(MAX_CANDIDATES), "often")
-    clean = _counted(rows.where("not toxic"), [r["term"] for r in often.select("term").collect()], "c")
-    telling = often.join(clean, "term", "left").withColumn("c", F.coalesce("c", F.lit(0))).where(odds >= MIN_RATIO)
-    context = _contexts(rows, [r["term"] for r in telling.select("term").collect()])
-    per_term = context.groupBy("term").agg(
-        F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c"),
-        F.sum(F.when(F.col("toxic"), 1).otherwise(0)).alias("tv"))
-    good = per_term.where((F.col("tv") >= MIN_CONTEXTS) & (F.col("tv") >= MIN_VARIETY * F.col("t")))
-    rated = {r["term"]: math.log(r["w"]) for r in good.select("term", odds.alias("w"), "tv").where(F.col("w") >= MIN_RATIO)
-             .orderBy(F.desc("tv"), "term").limit(MAX_TERMS).collect()}
+    # log likelihood of the counts by their own share, against the usual one
+    both = F.col("t") + F.col("c")
+    evidence = F.col("t") * F.log(F.col("t") / both / usual) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / both / (1 - usual))).otherwise(0)
+
+    often = _counted(texts.where("toxic"), "t").where(F.col("t") >= MIN_TOXIC)
+    telling = (often.join(_counted(texts.where("not toxic"), "c"), "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+               .where(odds >= MIN_RATIO).orderBy(F.desc("t"), "term").limit(MAX_CANDIDATES))
+    context = _contexts(texts, [r["term"] for r in telling.select("term").collect()])
+    per_term = _apart(context).groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c"))
+    good = per_term.where((F.col("t") >= MIN_CONTEXTS) & (evidence >= MIN_EVIDENCE))
+    rated = {r["term"]: math.log(r["w"]) for r in good.select("term", odds.alias("w"), "t").where(F.col("w") >= MIN_RATIO)
+             .orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()}
     # a longer term stays only if it says more than the stems it begins with
     weights = {t: w for t, w in rated.items() if all(rated.get(s, 0.0) < w for s in terms_of(t.rstrip("*"))[1:] if len(s.rstrip("*")) < len(t.rstrip("*")))}
     phrases = context.select("toxic", "n", F.explode(F.array(
@@ -169,6 +177,14 @@ def learned(docs: DataFrame, labels: DataFrame, learn) -> tuple[dict[str, float]
     return weights, exceptions, _calibrated(rows, weights, exceptions, usual)
 
 
+def _apart(context: DataFrame) -> DataFrame:
+    """The contexts of terms without those that look like edits of one that is NEAR_TIMES as frequent."""
+    for side in ("before", "behind"):
+        most = context.groupBy("term", "toxic", side).agg(F.max("n").alias(f"most_{side}"))
+        context = context.join(most, ["term", "toxic", side])
+    return context.where(F.greatest("most_before", "most_behind") < NEAR_TIMES * F.col("n"))
+
+
 def _contexts(rows: DataFrame, terms: list[str]) -> DataFrame:
     """term, before, word, behind, toxic, n: how often a candidate's word stands between two words, by label."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 from invented import prose
+from pyspark.sql import functions as F
 
 from fieldloom.llm import decontam, language, line_rules, mixing, near_dup, queries, secrets, sharding, surrogates, tokens, toxicity
 
@@ -240,6 +241,27 @@ def test_token_counts(spark, texts):
     assert count(odd) == [len(tok.encode(t, add_special_tokens=False)) for t in odd]
 
 
+def lexicon(spark, docs):
+    """Whole words of the fixture that a term of the learned lexicon begins."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(docs)], "doc_id long, toxic int")
+    weights = toxicity.learned(df, lab, F.lit(True))[0]
+    return {w for w in ("zorgle", "bravix") if any(t in weights for t in toxicity.terms_of(w))}
+
+
+def test_toxic_words_stay_in_the_lexicon_beside_copies(spark):
+    copies = [(f"{prose(1, 20)} zorgle {prose(2, 20)}", 1)] * 600 + [(f"{prose(3, 20)} zorgle {prose(4, 20)}", 0)] * 600
+    # each copy has one edited word; some of them stand next to the word
+    edited = [" ".join(f"edit{k}" if i == k % 40 else x for i, x in enumerate(f"{prose(5, 20)} bravix {prose(6, 20)}".split())) for k in range(600)]
+    docs = [(f"{prose(100 + k, 15)} zorgle {prose(400 + k, 15)}", 1) for k in range(60)] + [(prose(1000 + k, 30), k % 2) for k in range(400)]
+    assert lexicon(spark, docs + copies + [(t, 1) for t in edited]) == {"zorgle"}
+
+
+def test_rare_toxic_words_count_alike_in_large_tables(spark):
+    docs = [(prose(k, 6) + (f" zorgle {prose(50_000 + k, 3)}" if k in (0, 700, 1400, 2100, 2800) else f" {prose(70_000 + k, 4)}"), int(k < 3000)) for k in range(12_000)]
+    assert lexicon(spark, docs) == {"zorgle"}
+
+
 def test_toxicity(spark):
     rnd = random.Random(3)
     bad, docs, labels = ["vileword", "mockery"], [], []
