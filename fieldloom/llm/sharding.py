@@ -2,8 +2,10 @@
 
 A node is a group of equal texts; a group that would fill more than a sixteenth of a shard, or has over a million rows,
 is split into several nodes.
-Nodes are linked through hubs: the group itself (its parts) and two min-hashes of long lines (documents that share a
-passage). Each round joins nodes with the shard that most rows of their hubs are in, and lets the nodes with the largest
+Nodes are linked through hubs: the group itself (its parts) and every distinct line of LONG_LINE characters or more
+(documents that share a passage; passages in differently broken or edited lines give no link). A hub costs a row for each
+of its nodes, never a pair. A node follows the hub with the largest share in one shard, so rare lines go before common
+ones. Each round joins nodes with the shard that most rows of their hubs are in, and lets the nodes with the largest
 gain move there as long as the shard's quota allows. At the end every shard keeps at most its exact share of rows; what
 is over, and all unlinked documents, fill the free slots.
 """
@@ -28,9 +30,9 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def _line_hash(text: Column, seed: int) -> Column:
+def _line_hashes(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(x) >= LONG_LINE)
-    return F.array_min(F.transform(lines, lambda x: F.xxhash64(x, F.lit(seed))))
+    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x, F.lit(1))))
 
 
 def narrow_documents(docs: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def narrow_documents(docs: DataFrame) -> DataFrame:
         "doc_id", byte_size(text).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(text, F.coalesce(F.octet_length(text), F.lit(-1))).alias("group"),
-        F.array(_line_hash(text, 1), _line_hash(text, 2)).alias("links"))
+        _line_hashes(text).alias("links"))
 
 
 def balanced_shards(narrow: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -62,7 +64,7 @@ def balanced_shards(narrow: DataFrame, shards: int = SHARDS, rounds: int = ROUND
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("group").alias("group"), F.min("links").alias("links"))
     ends = nodes.select("node", "n", F.explode(F.array_distinct(F.concat(
         F.array(F.struct(F.lit(0).alias("kind"), F.col("group").alias("hash"))),
-        F.transform("links", lambda x, i: F.struct((i + 1).alias("kind"), x.alias("hash")))))).alias("hub")).where("hub.hash is not null")
+        F.transform(F.coalesce("links", F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("hash")))))).alias("hub")).where("hub.hash is not null")
     shared = ends.groupBy("hub").agg(F.count("*").alias("ends")).where("ends > 1").select("hub")
     edges = cut(ends.join(shared, "hub").select(F.xxhash64("hub.kind", "hub.hash").alias("hub"), "node", "n"), "edges")
     # all nodes of a group start together where its first part does

@@ -249,6 +249,18 @@ def lexicon(spark, docs):
     return {w for w in ("zorgle", "bravix") if any(t in weights for t in toxicity.terms_of(w))}
 
 
+def test_texts_with_one_common_line_are_linked_and_stand_together(spark):
+    def lines(seed):
+        return [prose(100 * seed + k, 12) for k in range(7)]
+    docs = [(2 * p + side, "\n".join([*lines(1000 + 2 * p + side), f"{prose(5 + p, 12)} shared {p}"])) for p in range(60) for side in range(2)]
+    docs += [(1000 + k, prose(300_000 + k, 5)) for k in range(120)]
+    narrow = sharding.narrow_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+    links = {r.doc_id: set(r.links) for r in narrow.collect()}
+    assert all(links[2 * p] & links[2 * p + 1] for p in range(60))
+    shard = {r.doc_id: r.shard for r in sharding.balanced_shards(narrow, 4).collect()}
+    assert sum(shard[2 * p] == shard[2 * p + 1] for p in range(60)) >= 36  # 15 by chance
+
+
 def test_toxic_words_stay_in_the_lexicon_beside_copies(spark):
     copies = [(f"{prose(1, 20)} zorgle {prose(2, 20)}", 1)] * 600 + [(f"{prose(3, 20)} zorgle {prose(4, 20)}", 0)] * 600
     # each copy has one edited word; some of them stand next to the word
