@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, language, line_rules, mixing, near_dup, secrets, sharding, surrogates, tokens, toxicity
+from . import decontam, language, lexical, line_rules, mixing, near_dup, secrets, sharding, surrogates, tokens, toxicity
 from .base import documents
 
 QUERIES: dict = {}
@@ -143,3 +143,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_surrogates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(documents(spark, sf_dir))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+l AS (SELECT doc_id, len(ts) AS n, ts FROM d),
+g AS (SELECT count(*) AS cn, sum(n)::BIGINT AS cl FROM l WHERE n > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+v AS (SELECT DISTINCT t FROM q),
+x AS (SELECT doc_id, n, unnest(ts) AS t FROM l),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM x WHERE t IN (SELECT t FROM v) GROUP BY 1, 2, 3),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+w AS (SELECT t, floor(1000 * ln((2 * cn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, g),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * cn) // cl))))::BIGINT AS score
+      FROM p JOIN w USING (t) JOIN q USING (t), g GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+@query("op11_hybrid_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
