@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, language, lexical, line_rules, mixing, near_dup, secrets, sharding, surrogates, tokens, toxicity
+from . import decontam, dialogue, language, lexical, line_rules, mixing, near_dup, secrets, sharding, surrogates, tokens, toxicity
 from .base import documents
 
 QUERIES: dict = {}
@@ -167,3 +167,46 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
 @query("op11_hybrid_search", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: One character of 16 for each turn after the damage; `step` are all edits of a turn with the inserts before it, by state.
+OP12_SQL = """
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations),
+k AS (SELECT c.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT)), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS kind FROM c, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN body[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+             CASE role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS ini FROM o),
+g AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+             count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE prev IS NOT NULL AND (prev, ini) NOT IN ((1, 2), (2, 3), (3, 2))) AS illegal, max(i) AS n FROM g GROUP BY 1),
+ins(p, l, q) AS (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (2, 'II', 2), (3, '', 3), (3, 'I', 2), (3, 'II', 3)),
+nxt(q, z) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+rowkind AS (SELECT ini.i AS ini, fl.f AS fault FROM range(4) ini(i), range(4) fl(f)),
+step AS (SELECT ini, fault, p, q AS z, 3 * len(l) + 4 AS cost, l || 'D' AS tok FROM rowkind, ins
+         UNION ALL SELECT ini, fault, p, nxt.z, 3 * len(l) + 3 + fault, l || 'R' FROM rowkind, ins JOIN nxt USING (q) WHERE fault IN (0, 3)
+         UNION ALL SELECT ini, fault, p, ini, 3 * len(l) + fault, l || 'K' FROM rowkind, ins JOIN nxt USING (q) WHERE fault IN (0, 3) AND (ini = nxt.z OR ini = 1 AND q = 0)),
+best AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, '000000000' AS b FROM n
+         UNION ALL SELECT f.conv_id, f.i, s.z, min(printf('%09d', substr(b, 1, 9)::BIGINT + s.cost) || substr(b, 10) || s.tok)
+         FROM best JOIN f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i + 1 JOIN step s ON s.ini = f.ini AND s.fault = f.fault AND s.p = best.q GROUP BY 1, 2, 3),
+e AS (SELECT conv_id, min(printf('%09d', substr(b, 1, 9)::BIGINT + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END) || substr(b, 10) || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END) AS b
+      FROM best JOIN n USING (conv_id) WHERE i = n.n GROUP BY 1),
+a AS (SELECT conv_id, substr(b, 1, 9)::BIGINT AS cost, substr(b, 10) AS audit, len(replace(substr(b, 10), 'D', '')) AS m FROM e),
+x AS (SELECT conv_id, audit, m, unnest(range(1, len(audit) + 1)) AS j FROM a),
+y AS (SELECT conv_id, j, audit[j] AS ed, m, len(regexp_replace(audit[:j], '[D]', '', 'g')) AS nth, len(replace(audit[:j], 'I', '')) AS i FROM x),
+l AS (SELECT y.conv_id, j, CASE WHEN ed = 'K' THEN f.role WHEN (nth + m) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN ed = 'I' THEN '' ELSE f.text END AS line
+      FROM y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.i = y.i WHERE ed <> 'D'),
+h AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY j)) AS sha FROM l GROUP BY 1)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN n USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN h USING (conv_id)
+"""
+
+
+@query("op12_hirschberg_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dialogue.digests(dialogue.repair_edits(dialogue.damaged(turns)), turns.select("conv_id"))
