@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, dialogue, language, lexical, line_rules, mixing, near_dup, secrets, sharding, surrogates, tokens, toxicity
+from . import decontam, dialogue, language, lexical, line_rules, mixing, near_dup, ngram_bloom, secrets, sharding, surrogates, tokens, toxicity
 from .base import documents
 
 QUERIES: dict = {}
@@ -210,3 +210,11 @@ FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN n USING (conv_id)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return dialogue.digests(dialogue.repair_edits(dialogue.damaged(turns)), turns.select("conv_id"))
+
+
+@query("op13_log_frequency_filter")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = ngram_bloom.trained(docs, _remainder(10) > 0)
+    return ngram_bloom.scored(docs, model, ["doc_id"]).select(
+        "doc_id", (_remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
