@@ -109,10 +109,18 @@ def hashed_words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tupl
     ``inside`` says for each byte value whether it belongs to a word. Words end at the end of a text. The hash is a
     polynomial over the bytes, taken from one running sum, then mixed.
     """
-    flag = inside[data]
+    return hashed_runs(data, offs, inside[data])
+
+
+def hashed_runs(data: np.ndarray, offs: np.ndarray, flag: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hashed_words, where ``flag`` says for each byte whether it belongs to a word, and ``begins`` where one begins in any case."""
     first, last = flag.copy(), flag.copy()
     first[1:] &= ~flag[:-1]
-    last[:-1] &= ~flag[1:]
+    if begins is not None:
+        first |= begins
+        last[:-1] &= begins[1:] | ~flag[1:]
+    else:
+        last[:-1] &= ~flag[1:]
     edge = offs[1:-1]
     edge = edge[(edge > 0) & (edge < len(data))]
     first[edge] = flag[edge]

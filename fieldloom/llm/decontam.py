@@ -1,7 +1,9 @@
 """Benchmark decontamination: pairs of neighbouring words find passages, local alignment decides.
 
-Words are runs of letters and digits in lower case. A document holds a copy of an item of L words if a local alignment of
-words (match 2, mismatch and gap -1) reaches min_score * 2 * L, and at least 2 * GRAM. No such copy is lost before the
+Words are runs of letters, digits and marks of any script, in lower case; in scripts that are written without blanks every
+letter with its marks is a word. A document holds a copy of an item of L words if a local alignment of
+words (match 2, mismatch and gap -1) reaches min_score * 2 * L, and at least 2 * GRAM; items of fewer words than GRAM stand
+in a document only whole (items that are no passage, such as single words, are better left out by the caller). No such copy is lost before the
 alignment: in an alignment of m matches and e errors, two matches in sequence with no error between them are a pair of
 neighbours on both sides, those with one error a pair at distance 1 or 2 on each side, all others have two errors or more;
 so score = 2m - e gives 2 * (pairs without error) + (pairs with one) >= score - 2. For each block of test items one
@@ -14,6 +16,7 @@ hold is bounded; more blocks mean more passes.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .base import _mixed, cut, hashed_words, text_blocks
+from .base import _mixed, cut, hashed_runs, text_blocks
 
 GRAM = 3
 LEFT_OUT = 4
@@ -30,19 +33,69 @@ MIN_SCORE = 0.5
 GAPS = (1, 2)
 MATCH, MISMATCH, GAP = 2, -1, -1
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+# ---- fixed values: blocks of scripts that are written without blanks between words (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han)
+NO_BLANKS = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+             (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+# -------------------------------------------------------------------------------------------
+
+_ASCII = np.zeros(256, bool)
+_ASCII[[*range(48, 58), *range(97, 123)]] = True
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """For each code point: 0 not of a word, 1 of a word, 2 a word of its own."""
+    if not _KINDS:
+        kind = np.zeros(0x110000, np.uint8)
+        for first in (0, 0x20000):  # no letters between, and none behind U+3FFFF but tags
+            at = range(first, first + 0x20000)
+            kind[first:first + 0x20000] = [unicodedata.category(chr(c))[0] in "LNM" for c in at]
+        for a, b in NO_BLANKS:
+            letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(a, b + 1)), bool, b + 1 - a)
+            kind[a:b + 1][letters] = 2
+        _KINDS.append(kind)
+    return _KINDS[0]
+
+
+def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each byte of UTF-8 whether it belongs to a word, and where words begin in any case."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return _ASCII[data], None
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    point = (data[lead] & np.array([0, 0, 0x1F, 0x0F, 0x07], np.uint8)[size]).astype(np.int64)
+    for k in (1, 2, 3):
+        more = size > k
+        point[more] = point[more] << 6 | data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F
+    kind = _kinds()[np.minimum(point, 0x10FFFF)]
+    flag, begins = _ASCII[data], np.zeros(len(data), bool)
+    for k in range(4):
+        at = lead[size > k] + k
+        flag[at[at < len(data)]] = (kind[size > k] > 0)[at < len(data)]
+    own = kind == 2
+    begins[lead[own]] = True
+    # what follows a word of its own begins anew, marks apart
+    after = (lead + size)[own]
+    after = after[after < len(data)]
+    ascii_after = after[_ASCII[data[after]]]
+    begins[ascii_after] = True
+    letters = lead[kind == 1]
+    marks = np.fromiter((unicodedata.category(chr(p))[0] == "M" for p in point[kind == 1].tolist()), bool, len(letters)) if own.any() else np.ones(len(letters), bool)
+    begins[np.intersect1d(letters[~marks], after)] = True
+    return flag, begins
 
 
 def _words(texts: pa.Array):
     """Blocks of (first row, end row, word rows, word hashes)."""
     for first, end, data, offs in text_blocks(pc.utf8_lower(texts)):
-        _, _, row, h = hashed_words(data, offs, _LETTER)
+        _, _, row, h = hashed_runs(data, offs, *_runs(data))
         yield first, end, row, h
 
 
 def _pairs(row: np.ndarray, h: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word and the word ``gap`` behind it, and whether that one is in the same text."""
+    """A hash of each word and the word ``gap`` behind it, and whether that one is in the same text; gap 0: of the word."""
+    if not gap:
+        return _mixed(~h), np.ones(len(h), bool)
     n = max(0, len(h) - gap)
     pair, whole = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
     with np.errstate(over="ignore"):
@@ -68,7 +121,7 @@ class Grams:
 
 def item_grams(benchmark: DataFrame, gram: int = GRAM) -> DataFrame:
     """item_id, n (words), words (array of hashes, once), pos, gap (1 or 2) and gram (hash) for each pair of words of each item
-    (item_id, text) of at least ``gram`` words."""
+    (item_id, text) with a word; a single word has gap 0."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +130,11 @@ def item_grams(benchmark: DataFrame, gram: int = GRAM) -> DataFrame:
                 begin = np.searchsorted(row, np.arange(end - first + 1))
                 for r, item in enumerate(ids):
                     own = h[begin[r]:begin[r + 1]]
-                    if len(own) < gram:
-                        continue
-                    for gap in GAPS:
+                    for gap in (0,) if len(own) == 1 else GAPS:
                         pair, whole = _pairs(np.zeros(len(own), int), own, gap)
                         at = np.flatnonzero(whole)
                         if len(at):
-                            words = [own.view(np.int64) if gap == GAPS[0] else None] + [None] * (len(at) - 1)
+                            words = [own.view(np.int64) if gap < 2 else None] + [None] * (len(at) - 1)
                             yield pa.RecordBatch.from_pydict({
                                 "item_id": pa.array([item] * len(at), pa.int64()), "n": pa.array([len(own)] * len(at), pa.int64()),
                                 "words": pa.array(words, pa.list_(pa.int64())), "pos": pa.array(at, pa.int64()),
@@ -103,7 +154,7 @@ def document_frequency(docs: DataFrame, grams: np.ndarray) -> DataFrame:
         for batch in batches:
             for _, _, row, h in _words(batch.column("text")):
                 seen = []
-                for gap in GAPS:
+                for gap in (0, *GAPS):
                     pair, whole = _pairs(row, h, gap)
                     at = table.found(pair, whole)
                     seen.append(row[at] * len(table.hashes) + np.searchsorted(table.hashes, pair[at]))
@@ -155,12 +206,12 @@ class Seeds:
         self.needed = _needed(n, least, min_score)
         # what the pairs that are not left out must reach; the words of a document that an alignment can span
         self.sum, self.span = self.needed - 2 - 2 * ((self.needed - 2) // LEFT_OUT), 3 * n - self.needed
-        self.table = Grams(self.gram)
+        self.table, self.single = Grams(self.gram), bool((self.gap == 0).any())
 
     def _begins(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """item (index) and word from which on the pairs within its span reach its sum, sorted by row, item and word."""
         ats, ks, weights = [], [], []
-        for gap in GAPS:
+        for gap in (0, *GAPS) if self.single else GAPS:
             pair, whole = _pairs(row, h, gap)
             at = self.table.found(pair, whole)
             lo = np.searchsorted(self.gram, pair[at], "left")
@@ -168,7 +219,7 @@ class Seeds:
             k = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
             ats.append(np.repeat(at, times))
             ks.append(k)
-            weights.append(1 + ((self.gap[k] == 1) & (gap == 1)))
+            weights.append(1 + ((self.gap[k] < 2) & (gap < 2)))
         at, k, weight = np.concatenate(ats), np.concatenate(ks), np.concatenate(weights)
         for name in ("all", "position"):  # all pairs of a text and item, then the best of each position of the item
             both = row[at] * len(self.ids) + self.item[k]
@@ -229,16 +280,17 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, gram: int, min_score: float)
     for k in range(blocks):
         own = grams.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         # at most about BLOCK_GRAMS hashes and positions come to the driver
-        hashes = np.array([r[0] for r in own.select("gram").distinct().collect()], np.int64).view(np.uint64)
+        hashes = own.select("gram").distinct().toArrow().column("gram").to_numpy().view(np.uint64)
         if not len(hashes):
             continue
         df = cut(document_frequency(docs, hashes), f"df{k}")
         known = own.join(df, "gram").select("gram", "item_id", "n", "pos", "gap", "df")
         place = known.groupBy("item_id", "pos").agg(F.sum("df").alias("df"), F.first("n").alias("n"))
         common = place.withColumn("nth", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("df"), "pos")))
-        rows = known.drop("df", "n").join(common, ["item_id", "pos"]).select("gram", "item_id", "pos", "gap", "n", "nth").collect()
-        words = {r["item_id"]: np.array(r["words"], np.int64).view(np.uint64) for r in own.where("words is not null").select("item_id", "words").collect()}
-        part = np.array([list(r) for r in rows], np.int64).reshape(-1, 6)
+        rows = known.drop("df", "n").join(common, ["item_id", "pos"]).select("gram", "item_id", "pos", "gap", "n", F.col("nth").cast("long")).toArrow()
+        texts = own.where("words is not null").select("item_id", "words").toArrow()
+        words = {i: np.array(w.values, np.int64).view(np.uint64) for i, w in zip(texts.column("item_id").to_pylist(), texts.column("words"), strict=True)}
+        part = np.stack([c.to_numpy() for c in rows.columns], axis=1)
         part = part[part[:, 5] > (_needed(part[:, 4], gram, min_score) - 2) // LEFT_OUT]
         if len(part):
             yield part[:, 0].copy().view(np.uint64), part[:, 1].copy(), part[:, 2].copy(), part[:, 3].copy(), words, gram, min_score
@@ -247,8 +299,8 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, gram: int, min_score: float)
 def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: one row for each document and item that it holds a copy of.
 
-    docs needs doc_id and text, benchmark item_id and text. Null or empty texts on either side, items of less than
-    ``gram`` words and items without id match nothing. Rows of docs that repeat give one row; a null doc_id is a value. Empty
+    docs needs doc_id and text, benchmark item_id and text. Null or empty texts on either side and
+    items without id match nothing; items of less than ``gram`` words match whole. Rows of docs that repeat give one row; a null doc_id is a value. Empty
     tables give an empty result. Other columns are not read.
     """
     out = None
