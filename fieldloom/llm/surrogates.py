@@ -2,10 +2,15 @@
 
 Mail addresses, phone, card and social security numbers, IP addresses, IBANs and names are found by patterns; each is cut
 into parts (local part and host, given name and surname), and each part gets a replacement drawn by a keyed hash of its
-kind and canonical form. So one entity has one replacement in all documents and spellings. Replacements keep the form:
+kind and canonical form. So one entity has one replacement in all documents and spellings. A name is all capitalised words
+behind a title, or behind a listed given name; its words stand for the person wherever else a document has them, and
+are replaced there in the same way. A given name has one gender in the whole corpus. Replacements keep the form:
 separators, country code, first digit and Luhn validity of cards, letter case, script, and the gender of given names.
 All distinct parts of the corpus are checked: where two would get the same replacement, or one that is a real value
 somewhere, all but the first draw again, until none clash.
+
+Limits: a person who is never named with a title, nor with one of the listed given names, is not found; a word that a document
+has as a name is replaced there even where it means something else.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ NAMES = ["mail", "host", "phone", "card", "ip", "ssn", "iban", "given name", "gi
 MALE_TITLES = "Mr Mister Sir Herr Monsieur Señor Sr Signor Господин"
 FEMALE_TITLES = "Mrs Ms Miss Lady Frau Madame Mme Mlle Señora Sra Señorita Signora Госпожа"
 TITLES = "Dr Prof Professor"
-MALE_LATIN = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Paul Peter Hans Karl Jürgen Pierre Jean Luc Carlos José Luis"
-FEMALE_LATIN = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Anna Emma Laura Ursula Monika Heidi Marie Claire Sophie Carmen Lucía Elena"
+MALE_LATIN = ("James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Paul Peter Hans Karl Jürgen Pierre Jean Luc Carlos José Luis "
+              "Mohammed Ahmed Omar Wei Rahul Arjun Vikram Hiroshi Kenji Pedro Miguel Giovanni Marco Lars Sven Piotr Kwame")
+FEMALE_LATIN = ("Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Anna Emma Laura Ursula Monika Heidi Marie Claire Sophie Carmen Lucía Elena "
+                "Fatima Aisha Priya Ananya Lakshmi Yuki Sakura Mei Rosa Isabel Giulia Francesca Ingrid Astrid Agnieszka Ama")
 MALE_CYRILLIC = "Иван Пётр Сергей Алексей Дмитрий Николай Михаил Андрей"
 FEMALE_CYRILLIC = "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана"
 MALE_GREEK = "Γιώργος Νίκος Κώστας Δημήτρης"
@@ -37,14 +44,14 @@ CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 # -------------------------------------------------------------------------------------------
 
-_LETTERS = r"\p{Lu}[\p{L}'’-]*+"
+_LETTERS = r"\p{Lu}[\p{L}-]*+(?:['’]\p{Lu}[\p{L}-]*+)*+"
 
 
 def _any(words: str) -> str:
     return "|".join(words.split())
 
 
-_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
+_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
@@ -55,7 +62,9 @@ MALE_TITLES, FEMALE_TITLES = f"{MALE_TITLES} {MALE_TITLES.upper()}", f"{FEMALE_T
 _ALL_TITLES = _any(f"{MALE_TITLES} {FEMALE_TITLES} {TITLES} {TITLES.upper()}")
 _ALL_GIVEN = _any(f"{MALE_LATIN} {FEMALE_LATIN} {MALE_CYRILLIC} {FEMALE_CYRILLIC} {MALE_GREEK} {FEMALE_GREEK}")
 # the look-ahead lets most places fail before the names are tried
-_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_LETTERS}(?: (?!(?:{_ALL_TITLES})\b){_LETTERS})?|(?:{_ALL_GIVEN}) {_LETTERS})"
+_MORE = rf"(?: (?!(?:{_ALL_TITLES})\b){_LETTERS})*+"
+_NAME = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_LETTERS}{_MORE}|(?:{_ALL_GIVEN}) {_LETTERS}{_MORE})"
+_WORD = rf"(?<![\p{{L}}\p{{N}}]){_LETTERS}"
 ENTITY = "|".join([_MAIL, _IBAN, _IP, _SSN, _PHONE, _CARD, _NAME])
 #: true for every text with an entity, and cheap
 _HINT = rf"[0-9@]|(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? |(?:{_ALL_GIVEN}) )"
@@ -81,12 +90,18 @@ def _parts(m: Column) -> Column:
     mail = F.array(_part(MAIL, local, F.lower(m)), _part(LITERAL, F.lit("@")), _part(HOST, host, F.lower(host)))
     title = F.regexp_extract(m, rf"^((?:{_ALL_TITLES})\.? )", 1)
     rest = F.substring(m, F.length(title) + 1, F.length(m))
-    given, surname = F.regexp_extract(rest, "^(\\S+) ", 1), F.regexp_extract(rest, "(\\S+)$", 1)
+    first = F.substring_index(rest, " ", 1)
     is_in = lambda c, words: c.rlike(f"^(?:{_any(words)})\\b")
-    gender = (F.when(is_in(title, MALE_TITLES) | is_in(given, f"{MALE_LATIN} {MALE_CYRILLIC} {MALE_GREEK}"), MALE)
-              .when(is_in(title, FEMALE_TITLES) | is_in(given, f"{FEMALE_LATIN} {FEMALE_CYRILLIC} {FEMALE_GREEK}"), FEMALE).otherwise(GIVEN))
-    name = F.filter(F.array(_part(LITERAL, title), _part(gender, given, F.lower(given)), _part(LITERAL, F.when(given != "", " ").otherwise("")),
-                            _part(SURNAME, surname, F.lower(surname))), lambda p: p["raw"] != "")
+    gender = (F.when(is_in(title, MALE_TITLES) | is_in(first, f"{MALE_LATIN} {MALE_CYRILLIC} {MALE_GREEK}"), MALE)
+              .when(is_in(title, FEMALE_TITLES) | is_in(first, f"{FEMALE_LATIN} {FEMALE_CYRILLIC} {FEMALE_GREEK}"), FEMALE).otherwise(GIVEN))
+
+    def parts_of(x: Column) -> Column:
+        last = F.size(x["words"]) - 1
+        return F.flatten(F.transform(x["words"], lambda w, i: F.array(
+            _part(LITERAL, F.when(i > 0, " ").otherwise("")), _part(F.when(i < last, x["gender"]).otherwise(SURNAME), w, F.lower(w)))))
+
+    named = _let(F.struct(F.split(rest, " ").alias("words"), gender.alias("gender")), parts_of)
+    name = F.filter(F.concat(F.array(_part(LITERAL, title)), named), lambda p: p["raw"] != "")
     one = lambda kind, canon: F.array(_part(kind, m, canon))
     return (F.when(m.contains("@"), mail).when(m.rlike(f"^(?:{_IP})$"), one(IP, m)).when(m.rlike(f"^(?:{_SSN})$"), one(SSN, _digits(m)))
             .when(m.rlike("^[A-Z]{2}[0-9]{2}"), one(IBAN, F.regexp_replace(m, " ", "")))
@@ -167,12 +182,18 @@ def _written(p: Column, s: Column) -> Column:
 
 
 def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
-    """kind, canon, s for the distinct parts (kind, canon) whose first draw clashes with another part or a real value."""
+    """kind, canon, s for the distinct parts (kind, canon) whose first draw does not hold: it clashes with another part or
+    a real value, or the part is a given name that has another gender elsewhere."""
     value = F.when(F.col("kind") == MAIL, F.concat("s", F.regexp_extract("canon", "(@.*)$", 1))).otherwise(F.col("s"))
     draw = lambda df: df.withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)).withColumn("value", value)
     # given names of both genders stand in one space
     space = F.when(F.col("kind").between(MALE, GIVEN), MALE).otherwise(F.col("kind"))
-    now = cut(draw(units.withColumn("attempt", F.lit(0)).withColumn("space", space)), "draw0")
+    # a given name that stands with several genders, or with and without one, gets the one it has, or none of two
+    given = F.col("kind").between(MALE, GIVEN)
+    has = lambda k: F.max(F.col("kind") == k)
+    one = units.where(given).groupBy("canon").agg(F.count("*").alias("n"), F.when(has(MALE) & has(FEMALE), GIVEN).when(has(MALE), MALE).when(has(FEMALE), FEMALE).otherwise(GIVEN).alias("one")).where("n > 1").drop("n")
+    known_as = cut(units.join(one, "canon", "left").select("canon", F.col("kind").alias("seen"), F.when(given, F.coalesce("one", "kind")).otherwise(F.col("kind")).alias("kind")), "kinds")
+    now = cut(draw(known_as.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("space", space)), "draw0")
     real = now.select("space", F.col("canon").alias("value")).distinct()
     turn = 0
     while True:
@@ -181,22 +202,42 @@ def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
         known = now.join(real, ["space", "value"], "left_semi").select("kind", "canon")
         clash = cut(later.unionByName(known).distinct().withColumn("again", F.lit(1)), f"clash{turn}")
         if not clash.take(1):
-            return now.where("attempt > 0").select("kind", "canon", "s")
+            return known_as.join(now, ["kind", "canon"]).where("attempt > 0 or kind != seen").select(F.col("seen").alias("kind"), "canon", "s")
         turn += 1
         again = now.join(clash, ["kind", "canon"], "left")
         now = cut(draw(again.withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again", "s", "value")), f"draw{turn}")
 
 
+def _named_again(parts: Column) -> Column:
+    """The parts with literals cut where they have a word of a name that the text has elsewhere."""
+    def names(ps: Column) -> Column:
+        every = F.array_sort(F.array_distinct(F.transform(F.filter(ps, lambda p: p["kind"] >= MALE), lambda p: F.struct(p["canon"].alias("canon"), p["kind"].alias("kind")))))
+        # the last kind of each word, a surname if it is one
+        last = lambda xs: F.filter(xs, lambda x, i: ~F.coalesce(F.get(xs, i + 1)["canon"] == x["canon"], F.lit(False)))
+        return F.map_from_entries(_let(every, last))
+
+    def cut_up(p: Column, known: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(p["raw"], F.lit(_WORD), F.lit(0)), lambda w: _part(
+            F.coalesce(F.element_at(known, F.lower(w)), F.lit(LITERAL)), w, F.when(F.element_at(known, F.lower(w)).isNotNull(), F.lower(w))))
+        between = F.transform(F.split(p["raw"], _WORD, -1), lambda x: _part(LITERAL, x))
+        return F.flatten(F.zip_with(between, words, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b))))
+
+    again = lambda known: F.flatten(F.transform(parts, lambda p: F.when(p["kind"] == LITERAL, cut_up(p, known)).otherwise(F.array(p))))
+    return F.when(F.exists(parts, lambda p: p["kind"] >= MALE), _let(names(parts), again)).otherwise(parts)
+
+
 def with_surrogates(docs: DataFrame, key: str = "fieldloom") -> DataFrame:
     """doc_id, text (entities replaced), n_entities and counts (map of kind to number) for each row of docs (doc_id, text).
 
     Null texts stay null, texts without entities stay as they are; repeated rows come back as often as given. The
-    replacement of an entity depends on the key and on the values of the corpus. Other columns are not read.
+    replacement of an entity depends on the key and on the values of the corpus. Of several readings of a word as a part
+    of a name (given name, surname) a bare mention takes the surname. Other columns are not read.
     """
     text = F.col("text")
     pieces = F.transform(F.split(text, ENTITY, -1), lambda x: F.array(_part(LITERAL, x)))
     hits = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _parts)
     woven = F.flatten(F.zip_with(pieces, hits, lambda a, b: F.when(b.isNull(), a).otherwise(F.concat(a, b))))
+    woven = _let(woven, _named_again)
     some = F.coalesce(text.rlike(_HINT), F.lit(False)) & F.coalesce(text.rlike(ENTITY), F.lit(False))
     rows = cut(docs.select("doc_id", "text").select("doc_id", F.when(~some, text).alias("text"), F.when(some, F.md5("text")).alias("text_key"),
                                                     F.when(some, woven).alias("parts")), "parts")
