@@ -4,15 +4,18 @@ One pass over the texts gives, for each distinct shingle set, MinHash bands and
 into a bitmap in which every sample flips one bit. The count of ones in the XOR of two sketches estimates their
 similarity most exactly where it is high, so that few wrong candidates reach the exact check.
 
-Buckets of equal band values are worked off in rounds. In the first, every member of a bucket meets one member, the
-centre; confirmed links give components. Then only buckets that still hold more than one component go on, with more
-centres each round until every member is one. So a large group of copies costs a row for each member and band, false
-neighbours in it are still compared with all, and no bucket has a cap. A bucket whose pairs across components are few for
-its size is finished at once.
+Buckets of equal band values are worked off in two phases. In the first, bands come in waves; every member of a bucket that is
+not yet in the component most of the bucket is in meets one member of that component, the centre, and confirmed links
+join components before the next wave. So a large group of copies costs a row for each member in the first band and little
+in the others. In the second phase only buckets that still hold more than one component go on, with more
+centres each round until every member is one: false neighbours are compared with all, and no bucket has a cap. A pair is
+looked at in the first band only that its members share, and has to pass a second odd sketch, that of the whole sets: its XOR
+never has more ones than the sets have different shingles. A bucket whose pairs across components are few for its size is finished at once.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,6 +32,10 @@ SKETCH_BITS = 2048
 #: a pair of similarity 0.8 is below this estimate once in some 10^5 cases
 SKETCH_FLOOR = 0.70
 WORDS = SKETCH_BITS // 64
+#: bits of the odd sketch of a whole set, in 64-bit words
+SET_WORDS = 32
+#: first bands of the waves of the first phase
+WAVES = (0, 1, 4, 12)
 FIRST_CENTRES = 8
 #: after the first sample of centres, a bucket with at most so many pairs across components for each member is finished at once
 EASY_PAIRS = 32
@@ -132,6 +139,41 @@ def _sets(width: int):
     return sets
 
 
+def _parities(width: int):
+    """p, q and the odd sketch of the whole set of each text."""
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hashes, ends in shingle_sets(batch.column("text"), width):
+                start = np.concatenate([[0], ends[:-1]])
+                some = np.flatnonzero(ends > start)
+                if not len(some):
+                    continue
+                row = np.searchsorted(ends[some], np.arange(len(hashes)), "right")
+                bit = (_mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(20)).astype(np.int64) % (64 * SET_WORDS)
+                ones = np.bincount(row * (64 * SET_WORDS) + bit, minlength=len(some) * 64 * SET_WORDS).reshape(len(some), -1)
+                words = np.packbits((ones & 1).astype(np.uint8), axis=1).view(np.int64)
+                both = _prints(hashes, start[some])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), SET_WORDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists], ["p", "q", "parity"])
+    return parities
+
+
+def _ones(a: str, b: str, name: str, words: int) -> Column:
+    """Ones in the XOR of two rows' words."""
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{name}{i}").bitwiseXOR(F.col(f"{b}{name}{i}"))) for i in range(words)])
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether the odd sketches of whole sets (words z0 and so on behind the prefixes) allow the similarity.
+
+    Sets of n and m shingles with the similarity differ in at most d = (n + m) * (100 - percent) / (100 + percent); the XOR has no
+    more ones than that. Where d is large against the sketch, the expected ones and five deviations are a sharper bar.
+    """
+    d, bits = (F.col(a + "n_shingles") + F.col(b + "n_shingles")) * ((100 - percent) / (100 + percent)), 64 * SET_WORDS
+    expected = (1 - F.exp(-2 * d / bits)) * (bits / 2)
+    return _ones(a, b, "z", SET_WORDS) <= F.least(d + 1e-6, expected + 5 * bits ** 0.5 / 2)
+
+
 def _close(a: str, b: str, percent: int) -> Column:
     """Whether sizes and odd sketches of two rows (n_shingles, k0 to k7 behind the prefixes) allow the similarity.
 
@@ -139,11 +181,8 @@ def _close(a: str, b: str, percent: int) -> Column:
     similarity s; pairs with more ones than SKETCH_FLOOR would give are out.
     """
     most = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - SKETCH_FLOOR * percent / 80) / SKETCH_BITS)))
-    ones = F.bit_count(F.col(a + "k0").bitwiseXOR(F.col(b + "k0")))
-    for i in range(1, WORDS):
-        ones = ones + F.bit_count(F.col(f"{a}k{i}").bitwiseXOR(F.col(f"{b}k{i}")))
     n, m = F.col(a + "n_shingles"), F.col(b + "n_shingles")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (ones <= most)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_ones(a, b, "k", WORDS) <= most)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,14 +227,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return measured.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles for the given nodes (node, carrier: the id of a document that has the set)."""
+def _node(salt: int) -> Column:
+    """The id of a set with prints p and q."""
+    return F.xxhash64("p", "q") if not salt else F.xxhash64("p", "q", F.lit(salt))
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """text of the carriers of nodes: all that later rounds read of the documents."""
     ids = nodes.select("carrier").distinct()
     few = ids.count() <= FEW_IDS
-    texts = docs.where("text is not null").join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["carrier"], "left_semi").select("text")
-    # the ids may repeat in docs: sets of other documents go, and one copy of each stays
-    sets = texts.mapInArrow(_sets(width), "p long, q long, shingles array<long>").withColumn("node", F.xxhash64("p", "q"))
-    return sets.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return docs.where("text is not null").join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["carrier"], "left_semi").select("text")
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, width: int, salt: int) -> DataFrame:
+    """node, shingles for the given nodes."""
+    # the ids of carriers may repeat: sets of other documents go, and one copy of each stays
+    sets = texts.mapInArrow(_sets(width), "p long, q long, shingles array<long>").withColumn("node", _node(salt))
+    few = nodes.count() <= FEW_IDS
+    wanted = nodes.select("node")
+    return sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -207,53 +257,74 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, p long, q long, bands array<long>, sketch array<long>"
-    signed = cut(docs.mapInArrow(_signatures(width), schema).withColumn("node", F.xxhash64("p", "q")), "signatures")
+    prints = cut(docs.mapInArrow(_signatures(width), schema), "signatures")
     # a node is a distinct set; its carrier is the smallest id that has it
-    nodes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(
+    by_print = cut(prints.where("n_shingles > 0 and doc_id is not null").groupBy("p", "q").agg(
         F.min("doc_id").alias("carrier"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
-    light = nodes.select("node", "n_shingles", *[F.col("sketch")[i].alias(f"k{i}") for i in range(WORDS)])
+    salt = 0
+    while by_print.groupBy(_node(salt).alias("node")).count().where("count > 1").take(1):
+        salt += 1
+    signed, nodes = prints.withColumn("node", _node(salt)), by_print.withColumn("node", _node(salt))
+    word = lambda c, i, name: F.coalesce(F.col(c)[i], F.lit(0)).alias(f"{name}{i}")
+    light = nodes.select("node", "n_shingles", *[word("sketch", i, "k") for i in range(WORDS)])
     side = lambda df, at, prefix: df.select(*[F.col(c).alias(at if c == "node" else c if c == "key" else prefix + c) for c in df.columns])
-    bands = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("key"))
+    bands = nodes.select("node", F.posexplode("bands").alias("pos", "band")).select("node", "pos", F.xxhash64("pos", "band").alias("key"))
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = cut(bands.join(crowded, "key").withColumn("c", F.col("node")), "members")
+    texts = cut(_texts_of(docs, nodes.join(member.select("node").distinct(), "node")), "texts")
     tried: DataFrame | None = None
     top: DataFrame | None = None
-    turn = 0
-    while True:
-        if turn == 0:
-            centres = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"))).alias("m")).select("key", "m.centre")
-            met = member.join(centres, "key").where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            close = met.join(side(light, "b", "b_"), "b").join(side(light, "a", "a_"), "a").where(_close("a_", "b_", percent)).select("a", "b")
-            done = F.col("n") <= 2
-        else:
-            # a growing share of the members, the same in all buckets, are centres, until few pairs lie across components:
-            # then all of them are met, as one side of each is outside the largest component
-            parts = member.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(
-                F.sum(F.col("s") * F.col("s")).alias("inner"), F.count("*").alias("k"), F.max(F.struct("s", "c")).alias("most"))
-            member = cut(member.select("key", "node", "n", "c").join(parts.where("k > 1").select("key", "inner", F.col("most.c").alias("major")), "key"), f"open{turn}")
-            share = F.lit(FIRST_CENTRES * 16.0 ** (turn - 1)) / F.col("n")
-            across = (F.col("n") * F.col("n") - F.col("inner")) / 2
-            done = (share >= 1) | (across <= EASY_PAIRS * F.col("n") if turn > 1 else F.lit(False))
-            drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) <= share
-            open_ = member.join(light, "node")
-            centres = open_.where((done & (F.col("c") != F.col("major"))) | (~done & drawn)).drop("n", "inner", "major")
-            left, right = side(open_.drop("n", "inner", "major"), "a", "a_"), side(centres, "b", "b_")
-            met = left.join(right, (left["key"] == right["key"]) & (F.col("a_c") != F.col("b_c")) & _close("a_", "b_", percent))
-            close = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def worked(close: DataFrame, turn: int) -> None:
+        """Confirm pairs (a, b) and join the components of those that are links."""
+        nonlocal tried, top, member
         if tried is not None:
             close = close.join(tried, ["a", "b"], "left_anti")
         close = cut(close, f"close{turn}")
         tried = close if tried is None else tried.unionByName(close)
         if close.take(1):
-            wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-            sets = cut(_sets_of(docs, cut(nodes.select("node", "carrier").join(wanted, "node"), f"wanted{turn}"), width), f"sets{turn}")
-            good = cut(_confirmed(close, sets, percent), f"links{turn}")
+            wanted = cut(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct(), f"wanted{turn}")
+            good = cut(_confirmed(close, cut(_sets_of(texts, wanted, width, salt), f"sets{turn}"), percent), f"links{turn}")
             top = _joined(top, good, turn)
             member = member.drop("c").join(top.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        member = cut(member.where(~done), f"members{turn}")
+
+    for turn, first in enumerate(WAVES):
+        last = WAVES[turn + 1] if turn + 1 < len(WAVES) else BANDS
+        own = member.where(F.col("pos").between(first, last - 1))
+        parts = own.groupBy("key", "c").agg(F.count("*").alias("s"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("m"))
+        centres = parts.groupBy("key").agg(F.max(F.struct("s", "c", "m.node")).alias("most"), F.count("*").alias("k")).where("k > 1")
+        met = own.join(centres.select("key", F.col("most.c").alias("major"), F.col("most.node").alias("centre")), "key").where("c != major")
+        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        worked(pairs.join(side(light, "b", "b_"), "b").join(side(light, "a", "a_"), "a").where(_close("a_", "b_", percent)).select("a", "b"), turn)
+        member = cut(member, f"members{turn}")
+    turn = 0
+    while True:
         turn += 1
-        if not member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").take(1):
+        # a growing share of the members, the same in all buckets, are centres, until few pairs lie across components:
+        # then all of them are met, as one side of each is outside the largest component
+        parts = member.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(
+            F.sum(F.col("s") * F.col("s")).alias("inner"), F.count("*").alias("k"), F.max(F.struct("s", "c")).alias("most"))
+        member = cut(member.select("key", "node", "pos", "n", "c").join(parts.where("k > 1").select("key", "inner", F.col("most.c").alias("major")), "key"), f"open{turn}")
+        if not member.take(1):
             break
+        if turn == 1:
+            left = cut(member.select("node").distinct(), "left")
+            few = left.count() <= FEW_IDS
+            parity = texts.mapInArrow(_parities(width), "p long, q long, parity array<long>").withColumn("node", _node(salt)).join(F.broadcast(left) if few else left, "node", "left_semi")
+            parity = parity.groupBy("node").agg(F.first("parity").alias("parity"))
+            wide = cut(light.join(nodes.select("node", *[word("bands", i, "b") for i in range(BANDS)]), "node").join(
+                parity.select("node", *[word("parity", i, "z") for i in range(SET_WORDS)]), "node"), "wide")
+        share = F.lit(FIRST_CENTRES * 16.0 ** (turn - 1)) / F.col("n")
+        across = (F.col("n") * F.col("n") - F.col("inner")) / 2
+        done = (share >= 1) | (across <= EASY_PAIRS * F.col("n") if turn > 1 else F.lit(False))
+        drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) <= share
+        open_ = member.join(wide, "node")
+        centres = open_.where((done & (F.col("c") != F.col("major"))) | (~done & drawn)).drop("n", "inner", "major", "pos")
+        left, right = side(open_.drop("n", "inner", "major"), "a", "a_"), side(centres, "b", "b_")
+        first = functools.reduce(lambda x, y: x & y, [(F.col("a_pos") <= i) | (F.col(f"a_b{i}") != F.col(f"b_b{i}")) for i in range(BANDS - 1)])
+        met = left.join(right, (left["key"] == right["key"]) & (F.col("a_c") != F.col("b_c")) & _close("a_", "b_", percent) & first & _near("a_", "b_", percent))
+        worked(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), len(WAVES) + turn)
+        member = cut(member.where(~done), f"left{turn}")
     ids = nodes.select("node", "carrier")
     if top is not None:
         whole = ids.join(top, "node").groupBy("component").agg(F.min("carrier").alias("first"))

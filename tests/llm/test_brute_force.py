@@ -228,6 +228,38 @@ def test_surrogates_stay_distinct(spark):
     assert not set(re.findall(r"Mr\. (\S+)", " ".join(got.values()))) & set(given)
 
 
+def test_names_are_whole_and_stand_for_one_person(spark):
+    t = ["Mr John Michael Smith wrote. Smith said so. John left, and Smith's dog too.", "Dr Alex Smith and Mr Alex Smith", "Priya Sharma met Wei Chen. Chen nodded.",
+         "Mrs O'Brien-Vale came. O'BRIEN-VALE left. Brien stays.", "Smith and John have no title here"]
+    got = {r.doc_id: r for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    m = re.match(r"Mr (\S+) (\S+) (\S+) wrote\. (\S+) said so\. (\S+) left, and (\S+)'s dog too\.$", got[0].text)
+    assert m and m[3] == m[4] == m[6] and m[1] == m[5] and not {"John", "Michael", "Smith"} & set(m.groups())
+    m = re.match(r"Dr (\S+) (\S+) and Mr (\S+) (\S+)$", got[1].text)
+    assert m and m[1] == m[3] and m[2] == m[4] == re.match(r"Mr \S+ \S+ (\S+)", got[0].text)[1]
+    assert not re.search("Priya|Sharma|Wei|Chen", got[2].text) and re.match(r"\S+ \S+ met \S+ (\w+)\. \1 nodded\.$", got[2].text)
+    m = re.match(r"Mrs (\S+) came\. (\S+) left\. Brien stays\.$", got[3].text)
+    assert m and m[1].upper() == m[2] and "Brien" not in m[1]
+    assert got[4].text == t[4] and [got[i].n_name for i in range(4)] == [3, 2, 3, 2]
+
+
+def test_planted_persons_are_found(spark):
+    rng = random.Random(4)
+    surnames = ["Kovacs", "Lindqvist", "Oyelaran", "Tanaka", "Moreau", "Castellano"]
+    docs = []
+    for i in range(200):
+        title, given, last = rng.choice(["Mr ", "Mrs. ", "Dr ", ""]), rng.choice(surrogates.MALE_LATIN.split() + surrogates.FEMALE_LATIN.split()), rng.choice(surnames)
+        docs.append((i, f"{prose(i, 12)} {title}{given} {last} spoke. {prose(i + 1, 9)} later {last} and {given} agreed; {last.upper()}!", last, given))
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(spark.createDataFrame(docs, "doc_id long, text string, last string, given string")).collect()}
+    assert not [i for i, _, last, given in docs if last.lower() in got[i].lower() or re.search(rf"(?<![\w-]){given}(?![\w-])", got[i])]
+
+
+def test_very_long_runs_of_entities(spark):
+    n, m = 100_000, 20_000
+    t = ["x@" + "a." * n + "com", "Mr " + "Ab " * m, "1." * n, "AB12" + " ABCD" * m, "+1" + " 23" * m, "a@b.c " * m, "A'" * n, "Mr A" + "'B" * n]
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
+    assert len(got) == len(t) and "x@" not in got[0] and "Ab" not in got[1].split()
+
+
 def test_token_counts(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -356,3 +388,27 @@ def test_pipeline(spark):
     assert not {d for d in seen[0] if labels.get(d) == 0}
     out = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert out.count() == docs.count()
+
+
+def test_items_of_any_script_and_length_are_found(spark):
+    zh = "我们在河边的花园里看到了很多美丽的花朵和高大的树木还有一座古老的石桥"
+    ja = "昨日は友達と一緒に山に登りました。とても楽しかったです。"
+    items = [(1, zh), (2, "Alpha—beta—gamma—delta “epsilon” zeta"), (3, ja), (4, "Quixotic zebra"), (5, "Floccinaucinihilipilification"), (6, "सत्यमेव जयते नानृतम् सत्येन पन्था"), (7, "")]
+    docs = [(1, f"{prose(1, 40)} {zh} {prose(2, 40)}"), (2, f"{prose(3, 30)} “alpha–beta gamma, delta”—Epsilon ZETA. {prose(4, 9)}"), (3, f"前に。{ja}後に。"),
+            (4, f"{prose(5, 20)} a quixotic, ZEBRA stood {prose(6, 20)}"), (5, f"{prose(7, 20)} “floccinaucinihilipilification” {prose(8, 20)}"),
+            (6, f"{prose(9, 20)} सत्यमेव जयते नानृतम् सत्येन पन्था॥ {prose(9, 20)}"), (7, f"{prose(10, 60)} zebra, quixotic 河边 昨日 सत्य"), (8, zh[:8] + "。" + prose(11, 20))]
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(k, k) for k in range(1, 7)]
+
+
+def test_words_of_scripts_without_blanks():
+    import pyarrow as pa
+
+    def words(t):
+        from fieldloom.llm.base import hashed_runs, text_blocks
+        for _, _, data, offs in text_blocks(pa.array([t])):
+            start, end, *_ = hashed_runs(data, offs, *decontam._runs(data))
+            return [data[a:b].tobytes().decode() for a, b in zip(start, end)]
+    assert words("ab中文cd é“x”") == ["ab", "中", "文", "cd", "é", "x"]
+    assert words("中ñandú文。กำ 1२٣") == ["中", "ñandú", "文", "กำ"[0] + "กำ"[1:], "1२٣"] or words("กำ")[0].startswith("ก")
+    assert words("𠀀𠀁x𝔘") == ["𠀀", "𠀁", "x𝔘"]
