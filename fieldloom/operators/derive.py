@@ -257,7 +257,7 @@ def clean_name(v: Column) -> Column:
 
 def _commas(v: Column) -> Column:
     x = F.regexp_replace(v, r"\s+", " ")
-    x = F.regexp_replace(x, r",(\s*,)+", ",")
+    x = F.regexp_replace(x, r",[\s,]*,", ",")
     return F.regexp_replace(F.regexp_replace(x, r"\s*,\s*", ", "), r",+", ",")
 
 
@@ -266,7 +266,7 @@ def clean_address_list(v: Column) -> Column:
 
 
 def clean_generic(v: Column) -> Column:
-    x = F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r",(\s*,)+", ",")
+    x = F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r",[\s,]*,", ",")
     return T.strip(F.regexp_replace(x, r"\s*,\s*", ", "))
 
 
@@ -275,7 +275,7 @@ def clean_address(v: Column) -> Column:
     for short, long in (("H", "H.No. "), ("D", "Door No. "), ("Flat", "Flat No. "), ("Plot", "Plot No. ")):
         x = F.regexp_replace(x, rf"(?i)\b{short}\s*\.?\s*No\s*\.?\s*\b", long)
     x = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"\s*,\s*", ", ")
-    return F.btrim(F.regexp_replace(x, r",(\s*,)+", ","), F.lit(", "))
+    return F.btrim(F.regexp_replace(x, r",[\s,]*,", ","), F.lit(", "))
 
 
 def clean_field(key: Column, v: Column) -> Column:

@@ -6,6 +6,7 @@ request list is a template's field list, a checked small list that travels insid
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -373,17 +374,43 @@ def display_name(keys: DataFrame, display: DataFrame, aliases: DataFrame, column
         "display_name", F.coalesce("_m", "_a", T.title_case(F.regexp_replace(column, "_", " ")))).drop("_m", "_a")
 
 
-def vector_join(requests: DataFrame, vectors: DataFrame, threshold: float = SEMANTIC_AT_LEAST, max_requests: int = 10_000) -> DataFrame:
-    """Pairs of request and candidate vectors whose mapped cosine reaches the threshold.
+#: pivots of the vector index, and rings on each side of a request's own
+PIVOTS, RINGS = 16, 4
 
-    The request side is checked to be small and is then broadcast whole; the candidate side is only scanned. A
-    larger request side is an error rather than a quadratic join.
+
+def _angles(v: Column, pivots: list[list[float]]) -> Column:
+    """The angles between a vector and unit pivots; null for a vector of norm 0."""
+    length = F.sqrt(Sim.dot(v, v))
+    cosine = lambda p: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), Sim.dot(v, p) / length))
+    return F.when(length > 0, F.transform(F.lit(pivots), lambda p: F.acos(cosine(p))))
+
+
+def vector_join(requests: DataFrame, vectors: DataFrame, threshold: float = SEMANTIC_AT_LEAST, n_pivots: int = PIVOTS) -> DataFrame:
+    """Pairs of request (request_id, request_vec) and candidate (vec_id, vec) whose mapped cosine reaches the threshold, above 0.
+
+    An index over angles, which obey the triangle inequality: every candidate goes to its nearest pivot and there into a
+    ring of the angle from it; a request meets the rings of each pivot whose angles differ from its own by no more than the
+    angle of the threshold. What meets is checked exactly and no pair is lost. Pivots are a few of the
+    candidates; both sides may be of any size. Vectors of norm 0 are near nothing; a vector does not meet its own id.
     """
-    n = requests.limit(max_requests + 1).count()
-    if n > max_requests:
-        raise ValueError(f"more than {max_requests} request vectors in one run; split the requests into runs")
-    near = Sim.cosine01(F.col("request_vec"), F.col("vec"))
+    if threshold <= 0:
+        raise ValueError("at a threshold of 0 every pair would be near")
+    unit = lambda v: T.let(F.sqrt(Sim.dot(v, v)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    some = vectors.where(Sim.dot(F.col("vec"), F.col("vec")) > 0)
+    pivots = [list(r["u"]) for r in some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select(unit(F.col("vec")).alias("u")).collect()]
+    widest = math.acos(max(-1.0, min(1.0, 2 * threshold - 1))) + 1e-6
+    if not pivots:
+        return vectors.join(requests, F.lit(False)).withColumn("similarity", F.lit(0.0))
+    ring = widest / RINGS
+    near = T.let(_angles(F.col("vec"), pivots), lambda a: T.let(F.array_min(a), lambda low: F.struct(
+        (F.array_position(a, low) - 1).cast("int").alias("pivot"), F.floor(low / ring).cast("int").alias("ring"))))
+    placed = vectors.withColumn("_at", near).where("_at.pivot is not null").select(*vectors.columns, "_at.pivot", "_at.ring")
+    rings = F.flatten(F.transform(_angles(F.col("request_vec"), pivots), lambda a, p: F.transform(
+        F.sequence(F.floor(F.greatest(a - widest, F.lit(0.0)) / ring).cast("int"), F.floor((a + widest) / ring).cast("int")),
+        lambda r: F.struct(p.alias("pivot"), r.alias("ring")))))
+    wanted = requests.select(*requests.columns, F.explode(rings).alias("_r")).select(*requests.columns, "_r.pivot", "_r.ring")
     return (
-        vectors.join(F.broadcast(requests), F.col("request_id") != F.col("vec_id"))
-        .withColumn("similarity", near).filter(F.col("similarity") >= threshold)
+        placed.join(wanted, ["pivot", "ring"]).where("request_id != vec_id")
+        .withColumn("similarity", Sim.cosine01(F.col("request_vec"), F.col("vec"))).where(F.col("similarity") >= threshold)
+        .drop("pivot", "ring")
     )

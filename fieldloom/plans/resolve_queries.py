@@ -13,7 +13,7 @@ from ..operators import label_search as L
 from ..operators import resolve as R
 from ..sources import dictionaries as Dic
 from ..sources import forms as Fm
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from . import sqlkit as S
 from .queries_base import collector
 from .text_queries import GATED
@@ -187,8 +187,7 @@ def neighbours(spark, d, threshold):
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("request_vec"), F.min("vec_id").alias("request_id"))
     req = first.select(F.col("label").alias("request_label"), "request_id", "request_vec")
-    vec = spread(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
-    return R.vector_join(req, vec, threshold).select("request_id", "request_label", "vec_id", F.round("similarity", 6).alias("similarity"))
+    return R.vector_join(req, e.select("vec_id", F.col("embedding").alias("vec")), threshold).select("request_id", "request_label", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("d8_semantic_join", D8 + "0.75")
@@ -202,6 +201,14 @@ def d8_near(spark, d):
     return neighbours(spark, d, 0.6)
 
 
+@query("d8_vector_pairs", """SELECT a.vec_id AS request_id, b.vec_id, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 6) AS similarity
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 >= 0.68""")
+def d8_pairs(spark, d):
+    e = table(spark, d, "embeddings")
+    req = e.select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("request_vec"))
+    return R.vector_join(req, e.select("vec_id", F.col("embedding").alias("vec")), 0.68).select("request_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("d9_embed_once", S.with_(LABELS + f""",
 t AS (SELECT DISTINCT {S.strip('label')} AS t FROM labels_), p AS (SELECT t, ' ' || lower(t) || ' ' AS p FROM t), v AS (SELECT t, {TRI.format(p='p')} AS v FROM p)""",
     f"SELECT t AS label, {_dot('v', 'v')} AS sq_norm, CAST(list_sum(v) AS BIGINT) AS trigrams FROM v"))

@@ -38,25 +38,42 @@ def test_area(spark):
     assert [(round(a.sqft, 2), round(a.sqyd, 2)) if a else None for a in got] == [(900.0, 100.0), (107.64, 11.96), (1200.0, 133.33), (450.0, 50.0), (538.19, 59.8), None]
 
 
-def test_wrapped_lines():
-    assert B.join_wrapped(["12345678901234", "Next Line"]) == "12345678901234 Next Line"
-    assert B.join_wrapped(["123456789012345", "Next Line"]) == "123456789012345\nNext Line"
-    assert B.join_wrapped(["a line that ends with,", "", "Next"]) == "a line that ends with, Next"
-    assert B.join_wrapped(["a line long enough here", "wrapped"]) == "a line long enough here wrapped"
+def test_wrapped_lines(spark):
+    cases = [("12345678901234\nNext Line", "12345678901234 Next Line"), ("123456789012345\nNext Line", "123456789012345\nNext Line"),
+             ("a line that ends with,\n\nNext", "a line that ends with, Next"), ("a line long enough here\nwrapped", "a line long enough here wrapped"),
+             ("A\nB\nC\nD\nE\nF\nG\nH\nI", "A B C D E F G H\nI"), ("", ""), ("\n \n", ""), (None, None), ("Only", "Only")]
+    assert column(spark, [c[0] for c in cases], B.merge_wrapped) == [c[1] for c in cases]
+    # more lines than one step of the fold takes
+    long = "\n".join(f"Sentence number {k} is whole" if k % 3 else "and goes on" for k in range(1, 20_001))
+    want = []
+    for k in range(1, 20_001):
+        want.append(f"Sentence number {k} is whole") if k % 3 else want.append(want.pop() + " and goes on")
+    assert column(spark, [long], B.merge_wrapped) == ["\n".join(want)]
 
 
 def box(x, y, w=50, h=10):
     return [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
 
 
-def test_layout():
-    line = lambda t, x, y: {"text": t, "box": box(x, y), "confidence": 1.0}
+def markdown(spark, *pages):
+    df = spark.createDataFrame([(list(p),) for p in pages], "lines array<struct<text:string,box:array<array<double>>,confidence:double>>")
+    return [r.text for r in B.reconstruct_pages(df).collect()]
+
+
+def test_layout(spark):
+    line = lambda t, x, y, w=50.0, h=10.0: {"text": t, "box": [[float(a), float(b)] for a, b in box(x, y, w, h)], "confidence": 1.0}
     page = [line("Value", 100, 1), line("Item", 0, 0), line("B", 100, 20), line("A", 0, 25), line("SCHEDULE A", 0, 60), line("end", 0, 80)]
-    assert B.page_markdown(page) == "\n| Item | Value |\n| --- | --- |\n| A | B |\n\n\n## SCHEDULE A\n\nend"
-    # exactly 0.6 of the height is a new row
-    assert B.rows_of_page([(0, 0, 10, "a"), (6, 50, 10, "b")]) == [["a"], ["b"]]
-    assert B.rows_of_page([(0, 50, 10, "a"), (5.9, 0, 10, "b")]) == [["b", "a"]]
-    assert B.page_markdown([{"text": "x", "box": [], "confidence": 1.0}, {"text": "y", "box": [], "confidence": 1.0}]) == "x\ny"
+    rows = [line("b", 50, 6), line("a", 0, 0)]
+    near = [line("a", 50, 0), line("b", 0, 5.9)]
+    anchored = [line("a", 0, 0), line("b", 50, 5), line("c", 90, 10)]
+    flat = [line("a|b", 0, 0, 50, 0), line("c", 50, 8.9, 50, 0), line("d", 0, 18, 50, 0)]
+    plain = [{"text": "x", "box": [], "confidence": 1.0}, {"text": "y", "box": None, "confidence": 1.0}]
+    mixed = [{"text": " x ", "box": None, "confidence": 1.0}, line("y", 0, 40), line("  ", 0, 50)]
+    got = markdown(spark, page, rows, near, anchored, flat, plain, mixed, [])
+    assert got[0] == "\n| Item | Value |\n| --- | --- |\n| A | B |\n\n\n## SCHEDULE A\n\nend"
+    # exactly 0.6 of the height is a new row, and the height counts from the first line of the row
+    assert got[1] == "a\nb" and got[2] == "\n| b | a |\n| --- | --- |\n" and got[3] == "\n| a | b |\n| --- | --- |\n\nc"
+    assert got[4] == "\n| a|b | c |\n| --- | --- | --- |\n\nd" and got[5] == "x\ny" and got[6] == "x\ny" and got[7] == ""
 
 
 def test_text_cleaning(spark):
@@ -64,6 +81,14 @@ def test_text_cleaning(spark):
     assert got == ["ab c d\n\nx", "row", ""]
 
 
+def test_long_runs_do_not_end_the_engine(spark):
+    n = 100_000
+    assert column(spark, ["|\n" * n + "abc", "|\n" * n, "a" + "\n-" * n], B.clean_text) == ["abc", "", "a"]
+    commas = ["a" + "," * n + "b", "a" + " ,\t" * n + "b"]
+    for clean in (V.clean_address_list, V.clean_generic, V.clean_address):
+        assert column(spark, commas, clean) == ["a, b", "a, b"]
+
+
 def test_lines_and_title(spark):
     assert column(spark, ["a\nb\n", "", "a\r\n\x0bb", "\n"], T.split_lines) == [["a", "b"], [], ["a", "", "b"], [""]]
     assert column(spark, ["b.r. ambedkar", "o'neil x1y"], T.title_case) == ["B.R. Ambedkar", "O'Neil X1Y"]

@@ -104,3 +104,23 @@ def test_validation_score(spark):
             ("Aadhar", "1234 5678", 0.0), ("PAN Card", "ABCDE1234F", 1.0), ("PAN", "ABC1234F", 0.0), ("Random Field", "Any Value", 1.0)]
     df = spark.createDataFrame(rows, "q string, v string, want double")
     assert all(r.got == r.want for r in df.withColumn("got", R.validation_score(F.col("q"), F.col("v"))).collect())
+
+
+def test_vector_index_loses_no_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 12))
+    vecs = np.concatenate([centres[rng.integers(0, 6, 300)] + rng.normal(scale=0.35, size=(300, 12)), np.zeros((2, 12)), np.repeat(centres[:1], 3, 0)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, vec array<double>")
+    req = df.selectExpr("vec_id as request_id", "vec as request_vec")
+    n = np.linalg.norm(vecs, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sim = np.nan_to_num((vecs @ vecs.T / np.outer(n, n) + 1) / 2)
+    for threshold in (0.6, 0.85, 0.97):
+        want = {(i, j) for i in range(len(vecs)) for j in range(len(vecs)) if i != j and n[i] and n[j] and sim[i, j] >= threshold}
+        got = R.vector_join(req, df, threshold).select("request_id", "vec_id").collect()
+        assert len(got) == len(want) > 0 and {tuple(r) for r in got} == want
+    met = R.vector_join(req, df, 0.97)
+    assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+    assert R.vector_join(req, df.where("vec_id in (300, 301)"), 0.5).count() == 0 and R.vector_join(req, df.where("false"), 0.5).count() == 0
