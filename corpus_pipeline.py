@@ -9,29 +9,45 @@ from fieldloom.llm.base import DOCUMENT, cut, documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, rejected documents go; n_chars follows the text that stays."""
+    """Failing lines go, rejected documents go; n_chars follows the text that stays.
+
+    Null, empty and blank texts are rejected. Repeated rows are judged alike and stay as often as given; an empty table stays empty.
+    """
     judged = line_rules.clean_lines(docs, DOCUMENT).where("kept")
     return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source",
                          F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (shingles of five words, similarity of 0.8 or more)."""
+    """One document of each group of near-duplicates stays (shingles of five words, similarity of 0.8 or more).
+
+    That is the smallest doc_id; equal rows of one doc_id are one document. Rows without doc_id or without words stay.
+    """
     return near_dup.first_of_groups(docs.select(*DOCUMENT))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a copy of a benchmark item go."""
+    """Documents with a copy of a benchmark item go.
+
+    Null or empty texts on either side and items without id match nothing. Repeated rows go or stay together.
+    """
     return decontam.decontaminated(docs.select(*DOCUMENT), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it.
+
+    Null sources are one source, the last. Rows without words go. Repeated rows share their copies evenly; an empty table stays empty.
+    """
     return mixing.mix_documents(docs.select(*DOCUMENT))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each document of the mixture."""
+    """doc_id, size, text_crc32, shard and slot of each document of the mixture.
+
+    A null text has size 8 and checksum 0. Repeated rows get slots of their own; ties between equal rows are broken arbitrarily
+    without effect on sizes. An empty table gives none.
+    """
     rows = sharding.balanced_shards(sharding.narrow_documents(docs))
     return rows.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
