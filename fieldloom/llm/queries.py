@@ -25,8 +25,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     narrow = docs.select("source", F.struct("doc_id").alias("key"), mixing.n_words(F.col("text")).alias("size"))
     return mixing.mixed(narrow).select(
-        F.col("key.doc_id").alias("doc_id"), "source", "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 @query("op1_balanced_shards")
