@@ -8,9 +8,9 @@ Buckets of equal band values are worked off in two phases. In the first, bands c
 not yet in the component most of the bucket is in meets one member of that component, the centre, and confirmed links
 join components before the next wave. So a large group of copies costs a row for each member in the first band and little
 in the others. In the second phase only buckets that still hold more than one component go on, with more
-centres each round until every member is one: false neighbours are compared with all, and no bucket has a cap. A pair is
-looked at in the first band only that its members share, and has to pass a second odd sketch, that of the whole sets: its XOR
-never has more ones than the sets have different shingles. A bucket whose pairs across components are few for its size is finished at once.
+centres each round until every member is one: false neighbours are compared with all, and no bucket has a cap. There a pair
+has to pass a finer odd sketch, that of the whole sets: its XOR never has more ones than the sets have different
+shingles. A bucket whose pairs across components are few for its size is finished at once.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ WORDS = SKETCH_BITS // 64
 #: bits of the odd sketch of a whole set, in 64-bit words
 SET_WORDS = 32
 #: first bands of the waves of the first phase
-WAVES = (0, 1, 4, 12)
-FIRST_CENTRES = 8
-#: after the first sample of centres, a bucket with at most so many pairs across components for each member is finished at once
+WAVES = (0, 4)
+#: centres of a bucket in the first round of the second phase, and the factor from round to round
+FIRST_CENTRES = 64
+#: a bucket with at most so many pairs across components for each member is finished at once
 EASY_PAIRS = 32
 #: up to so many ids go to all tasks (8 MB); more are joined by shuffle
 FEW_IDS = 1_000_000
@@ -164,14 +165,15 @@ def _ones(a: str, b: str, name: str, words: int) -> Column:
 
 
 def _near(a: str, b: str, percent: int) -> Column:
-    """Whether the odd sketches of whole sets (words z0 and so on behind the prefixes) allow the similarity.
+    """Whether sizes and the odd sketches of whole sets (words z0 and so on behind the prefixes) allow the similarity.
 
     Sets of n and m shingles with the similarity differ in at most d = (n + m) * (100 - percent) / (100 + percent); the XOR has no
     more ones than that. Where d is large against the sketch, the expected ones and five deviations are a sharper bar.
     """
     d, bits = (F.col(a + "n_shingles") + F.col(b + "n_shingles")) * ((100 - percent) / (100 + percent)), 64 * SET_WORDS
     expected = (1 - F.exp(-2 * d / bits)) * (bits / 2)
-    return _ones(a, b, "z", SET_WORDS) <= F.least(d + 1e-6, expected + 5 * bits ** 0.5 / 2)
+    n, m = F.col(a + "n_shingles"), F.col(b + "n_shingles")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_ones(a, b, "z", SET_WORDS) <= F.least(d + 1e-6, expected + 5 * bits ** 0.5 / 2))
 
 
 def _close(a: str, b: str, percent: int) -> Column:
@@ -312,17 +314,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             few = left.count() <= FEW_IDS
             parity = texts.mapInArrow(_parities(width), "p long, q long, parity array<long>").withColumn("node", _node(salt)).join(F.broadcast(left) if few else left, "node", "left_semi")
             parity = parity.groupBy("node").agg(F.first("parity").alias("parity"))
-            wide = cut(light.join(nodes.select("node", *[word("bands", i, "b") for i in range(BANDS)]), "node").join(
-                parity.select("node", *[word("parity", i, "z") for i in range(SET_WORDS)]), "node"), "wide")
-        share = F.lit(FIRST_CENTRES * 16.0 ** (turn - 1)) / F.col("n")
+            fine = cut(nodes.select("node", "n_shingles").join(parity.select("node", *[word("parity", i, "z") for i in range(SET_WORDS)]), "node"), "fine")
+        share = F.lit(float(FIRST_CENTRES) ** turn) / F.col("n")
         across = (F.col("n") * F.col("n") - F.col("inner")) / 2
-        done = (share >= 1) | (across <= EASY_PAIRS * F.col("n") if turn > 1 else F.lit(False))
+        done = (share >= 1) | (across <= EASY_PAIRS * F.col("n"))
         drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) <= share
-        open_ = member.join(wide, "node")
-        centres = open_.where((done & (F.col("c") != F.col("major"))) | (~done & drawn)).drop("n", "inner", "major", "pos")
+        open_ = member.join(fine, "node").drop("pos")
+        centres = open_.where((done & (F.col("c") != F.col("major"))) | (~done & drawn)).drop("n", "inner", "major")
         left, right = side(open_.drop("n", "inner", "major"), "a", "a_"), side(centres, "b", "b_")
-        first = functools.reduce(lambda x, y: x & y, [(F.col("a_pos") <= i) | (F.col(f"a_b{i}") != F.col(f"b_b{i}")) for i in range(BANDS - 1)])
-        met = left.join(right, (left["key"] == right["key"]) & (F.col("a_c") != F.col("b_c")) & _close("a_", "b_", percent) & first & _near("a_", "b_", percent))
+        met = left.join(right, (left["key"] == right["key"]) & (F.col("a_c") != F.col("b_c")) & _near("a_", "b_", percent))
         worked(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), len(WAVES) + turn)
         member = cut(member.where(~done), f"left{turn}")
     ids = nodes.select("node", "carrier")
