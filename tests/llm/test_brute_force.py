@@ -412,3 +412,32 @@ def test_words_of_scripts_without_blanks():
     assert words("ab中文cd é“x”") == ["ab", "中", "文", "cd", "é", "x"]
     assert words("中ñandú文。กำ 1२٣") == ["中", "ñandú", "文", "กำ"[0] + "กำ"[1:], "1२٣"] or words("กำ")[0].startswith("ก")
     assert words("𠀀𠀁x𝔘") == ["𠀀", "𠀁", "x𝔘"]
+
+
+def test_a_group_of_edited_copies_has_the_components_of_all_pairs(spark):
+    rng = random.Random(8)
+    base = prose(42, 140).split()
+    texts = []
+    for i in range(350):
+        words = list(base)
+        for k in rng.sample(range(len(words)), rng.randint(0, 14)):
+            words[k] = f"edit{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k:k + 2]) for k in range(len(w) - 1)} for w in (t.lower().split() for t in texts)]
+    top = list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+                ra, rb = sorted((root(a), root(b)))
+                top[rb] = ra
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=2).collect()}
+    want = {i: root(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 5 and got == want
