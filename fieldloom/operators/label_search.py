@@ -60,10 +60,18 @@ def with_following(docs: DataFrame, keys: Sequence[str] = ("doc_id",), ahead: in
     )
 
 
-def anchor_join(lines: DataFrame, dim: DataFrame, on: str = "text") -> DataFrame:
-    """Lines next to the labels whose anchor word they hold."""
+def anchor_join(lines: DataFrame, dim: DataFrame, on: str = "text", label: str = "label") -> DataFrame:
+    """Lines next to the labels whose anchor word they hold; callers check the whole label by a pattern.
+
+    A pattern per row is costly, so pairs of plain ASCII must first hold the lower-cased label, which is exact for them;
+    others go straight to the pattern, whose case rules differ from ``lower`` for some letters.
+    """
+    beyond_ascii = r"[^\x00-\x7F]"
     words = F.array_distinct(F.regexp_extract_all(F.lower(on), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    return lines.withColumn("anchor", F.explode(words)).join(F.broadcast(dim), "anchor").drop("anchor")
+    labels = dim.withColumn("_label", F.when(~F.col(label).rlike(beyond_ascii), F.lower(label)))
+    held = lines.withColumn("_held", F.when(~F.col(on).rlike(beyond_ascii), F.lower(on)))
+    pairs = held.withColumn("anchor", F.explode(words)).join(F.broadcast(labels), "anchor")
+    return pairs.filter(F.coalesce(F.contains("_held", "_label"), F.lit(True))).drop("anchor", "_held", "_label")
 
 
 def whole_word(label: Column, case_sensitive: bool = False) -> Column:

@@ -174,7 +174,7 @@ def stops_in(texts: DataFrame, column: str, stops: DataFrame) -> DataFrame:
     lab = T.quote_regex(F.col("stop"))
     with_sep = F.concat(F.lit(r"(?iU)(?<!\w)"), lab, F.lit(r"(?!\w)\s*" + SEP_CLASS))
     alone = F.concat(F.lit(r"(?iU)^[^\w]*"), lab, F.lit(r"[^\w]*$"))
-    found = L.anchor_join(t, stops).filter(F.regexp_like("text", with_sep) | F.regexp_like("text", alone))
+    found = L.anchor_join(t, stops, label="stop").filter(F.regexp_like("text", with_sep) | F.regexp_like("text", alone))
     return found.groupBy(F.col("text").alias(column)).agg(F.collect_set("stop").alias("stops"))
 
 
