@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from . import discovery as D
@@ -150,20 +151,25 @@ def parse_spec_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     })
 
 
-def flatten_spec(specs: DataFrame, keys: Sequence[str], max_depth: int = 4) -> DataFrame:
-    """Leaf fields of nested ``fields ARRAY<STRUCT<label, nested_fields ...>>``, depth first, to a bounded depth."""
-    level = specs.select(*keys, F.posexplode("fields").alias("p", "f")).withColumn("path", F.array("p"))
-    out = None
-    for depth in range(1, max_depth + 1):
-        has_nested = "nested_fields" in level.schema["f"].dataType.names
-        leaf = (F.coalesce(F.size("f.nested_fields"), F.lit(0)) <= 0) if has_nested else F.lit(True)
-        rows = level.filter(leaf).select(*keys, F.lit(depth).alias("depth"), "path", F.col("f.label").alias("label"))
-        out = rows if out is None else out.unionByName(rows)
-        if not has_nested:
-            return out
-        level = level.select(*keys, "path", F.posexplode("f.nested_fields").alias("p", "f")).withColumn(
-            "path", F.concat("path", F.array("p")))
-    raise ValueError(f"the template nests deeper than {max_depth} levels")
+def flatten_spec(specs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leaf fields of nested ``fields ARRAY<STRUCT<label, nested_fields ...>>``, depth first, as deep as the type goes.
+
+    Returns the keys, ``depth`` (from 1), ``path`` (positions from the top) and ``label``. The leaves are gathered within the row, so the
+    specs are read once at any depth. A spec without fields gives no row; an empty or null list of children makes a leaf.
+    """
+    def leaves(fields: Column, element: StructType, above: Column, depth: int) -> Column:
+        def of(f: Column, i: Column) -> Column:
+            path = F.concat(above, F.array(i))
+            leaf = F.array(F.struct(F.lit(depth).alias("depth"), path.alias("path"), f["label"].alias("label")))
+            if "nested_fields" not in element.names:
+                return leaf
+            below = f["nested_fields"]
+            return F.when(F.coalesce(F.size(below), F.lit(0)) > 0, leaves(below, element["nested_fields"].dataType.elementType, path, depth + 1)).otherwise(leaf)
+
+        return F.flatten(F.transform(fields, of))
+
+    top = F.array().cast("array<int>")
+    return specs.select(*keys, F.inline(leaves(F.col("fields"), specs.schema["fields"].dataType.elementType, top, 1)))
 
 
 def required_fields(fields: DataFrame) -> DataFrame:

@@ -180,10 +180,10 @@ TOKENS = {"token_id": "event_id", "user_id": "user_id", "expires_at": "ts + INTE
 
 
 @query("h9_active_sessions", "WITH t AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in TOKENS.items()) + f""" FROM events)
-SELECT token_id, user_id FROM t WHERE revoked_at IS NULL AND expires_at >= TIMESTAMP '{NOW}' AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+SELECT token_id, user_id FROM t WHERE revoked_at IS NULL AND expires_at >= TIMESTAMP '{NOW}' AND user_id IN (SELECT c_custkey FROM customer)""")
 def h9(spark, d):
     tok = table(spark, d, "events").select(*[F.expr(v).alias(k) for k, v in TOKENS.items()])
-    users = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     return A.active_sessions(tok, users, F.lit(NOW).cast(dict(tok.dtypes)["expires_at"])).select("token_id", "user_id")
 
 

@@ -105,15 +105,16 @@ def g5(spark, d):
     return G.parse_spec_lines(lines).select("doc_id", "section_no", "section", "field_no", "label", "field_code", "static_value", "raw_text", "field_type")
 
 
-@query("g6_flatten_spec", """SELECT l_orderkey AS doc_id, label, count(*) AS n FROM (
-  SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'line ' || l_linenumber ELSE 'part ' || l_partkey END AS label FROM lineitem) GROUP BY 1, 2""")
+@query("g6_flatten_spec", """SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS depth,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1 AS STRING) || CASE WHEN l_returnflag = 'N' THEN '' ELSE '/0' END AS path,
+  CASE WHEN l_returnflag = 'N' THEN 'line ' || l_linenumber ELSE 'part ' || l_partkey END AS label FROM lineitem""")
 def g6(spark, d):
     li = table(spark, d, "lineitem")
-    leaf = F.struct(F.concat(F.lit("part "), "l_partkey").alias("label"))
-    nested = F.when(F.col("l_returnflag") != "N", F.array(leaf))
-    fields = F.struct(F.concat(F.lit("line "), "l_linenumber").alias("label"), nested.alias("nested_fields"))
-    specs = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(fields).alias("fields"))
-    return G.flatten_spec(specs, ["doc_id"]).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
+    nested = lambda x: F.when(x["l_returnflag"] != "N", F.array(F.struct(F.concat(F.lit("part "), x["l_partkey"]).alias("label"))))
+    fields = F.transform(ordered, lambda x: F.struct(F.concat(F.lit("line "), x["l_linenumber"]).alias("label"), nested(x).alias("nested_fields")))
+    specs = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(fields.alias("fields"))
+    return G.flatten_spec(specs, ["doc_id"]).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
 
 
 @query("g7_required_fields", f"WITH {FIELDS} SELECT template_id, field_name, display_order FROM tfields WHERE field_type = 'AUTO'")
