@@ -7,7 +7,7 @@ on one word of the label (its longest); the pattern then checks the few pairs th
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -159,49 +159,76 @@ def keyword_search(docs: DataFrame, keywords: dict[str, Sequence[str]], key: str
     return docs.select(key, F.explode(fields).alias("f")).select(key, "f.field_key", "f.h.*").filter(F.col("value").isNotNull())
 
 
+def _chunk(ls: Column, is_hit: Callable[[Column], Column]) -> Column:
+    """Lines around every hit, with a mark at each gap; the first lines when nothing hits."""
+    hits = F.filter(F.transform(ls, lambda x, i: F.when(is_hit(x), i + 1)), lambda i: i.isNotNull())
+
+    def cut(hs: Column) -> Column:
+        n = F.size(ls)
+        # runs of kept lines: a run starts where the window of a hit does not touch the one before
+        at = F.transform(hs, lambda h, k: F.struct(
+            F.greatest(h - CHUNK_BEFORE, F.lit(1)).alias("a"), F.least(h + CHUNK_AFTER, n).alias("b"),
+            F.coalesce(F.get(hs, k - 1) + CHUNK_AFTER, F.lit(0)).alias("before"),
+            (k == 0).alias("first")))
+        pieces = F.transform(at, lambda s: F.when(
+            s["first"] | (s["a"] > s["before"] + 1),
+            F.concat(F.lit(GAP + "\n"), F.array_join(F.slice(ls, s["a"], s["b"] - s["a"] + 1), "\n"))).otherwise(
+            F.array_join(F.slice(ls, F.least(s["before"], n) + 1, F.greatest(s["b"] - F.least(s["before"], n), F.lit(0))), "\n")))
+        kept = F.filter(F.transform(pieces, lambda p, k: F.when(
+            F.get(at, k)["first"] | (F.get(at, k)["b"] > F.get(at, k)["before"]), p)), lambda p: p.isNotNull())
+        return F.when(F.size(hs) > 0, F.substring(F.array_join(kept, "\n"), 1, CHUNK_CHARS)).otherwise(
+            F.array_join(F.slice(ls, 1, CHUNK_LINES), "\n"))
+
+    return T.let(hits, cut)
+
+
 def relevant_chunks(docs: DataFrame, terms: Sequence[str], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Lines around every term hit, with a mark at each gap; the first lines when nothing hits."""
     wanted = [t.lower() for t in terms if t.strip()]
+    return docs.select(*keys, T.let(F.split("text", "\n", -1), lambda ls: _chunk(
+        ls, lambda x: T.contains_any(F.lower(x), wanted))).alias("chunk"))
 
-    def build(ls: Column) -> Column:
-        hits = F.filter(F.transform(ls, lambda x, i: F.when(T.contains_any(F.lower(x), wanted), i + 1)), lambda i: i.isNotNull())
-
-        def cut(hs: Column) -> Column:
-            n = F.size(ls)
-            # runs of kept lines: a run starts where the window of a hit does not touch the one before
-            at = F.transform(hs, lambda h, k: F.struct(
-                F.greatest(h - CHUNK_BEFORE, F.lit(1)).alias("a"), F.least(h + CHUNK_AFTER, n).alias("b"),
-                F.coalesce(F.get(hs, k - 1) + CHUNK_AFTER, F.lit(0)).alias("before"),
-                (k == 0).alias("first")))
-            pieces = F.transform(at, lambda s: F.when(
-                s["first"] | (s["a"] > s["before"] + 1),
-                F.concat(F.lit(GAP + "\n"), F.array_join(F.slice(ls, s["a"], s["b"] - s["a"] + 1), "\n"))).otherwise(
-                F.array_join(F.slice(ls, F.least(s["before"], n) + 1, F.greatest(s["b"] - F.least(s["before"], n), F.lit(0))), "\n")))
-            kept = F.filter(F.transform(pieces, lambda p, k: F.when(
-                F.get(at, k)["first"] | (F.get(at, k)["b"] > F.get(at, k)["before"]), p)), lambda p: p.isNotNull())
-            return F.when(F.size(hs) > 0, F.substring(F.array_join(kept, "\n"), 1, CHUNK_CHARS)).otherwise(
-                F.array_join(F.slice(ls, 1, CHUNK_LINES), "\n"))
-
-        return T.let(hits, cut)
 
-    return docs.select(*keys, T.let(F.split("text", "\n", -1), build).alias("chunk"))
+def _request_id(key: str) -> Column:
+    return F.concat_ws(":", F.col(key).cast("string"), T.slug(F.col("field_name")))
 
 
-def fallback_queue(resolved: DataFrame) -> DataFrame:
+def fallback_queue(resolved: DataFrame, key: str = "doc_id") -> DataFrame:
     """Fields without any candidate become request rows for an outside model."""
     return resolved.filter(F.col("fuzzy").isNull()).withColumns({
-        "field_code": T.slug(F.col("field_name")), "answer_confidence": F.lit(ANSWER_CONFIDENCE)})
+        "request_id": _request_id(key), "field_code": T.slug(F.col("field_name")), "answer_confidence": F.lit(ANSWER_CONFIDENCE)})
+
+
+def work_list(queue: DataFrame, docs: DataFrame, keywords: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The queue with what a model needs: label, keywords and the part of the text around them.
+
+    ``keywords`` is ``(field_name, alias)``; a field without any is looked for by its own name. A document's requests meet its text
+    once, whatever their number, and its lines are split once. Documents without text ask nothing; repeated rows of a request count once.
+    """
+    words = keywords.filter(T.strip(F.col("alias")) != "").groupBy("field_name").agg(F.array_sort(F.collect_set("alias")).alias("keywords"))
+    asked = queue.select(key, "field_name", "field_code", "request_id", "answer_confidence").distinct().join(words, "field_name", "left")
+    request = F.struct("request_id", "field_name", "field_code", F.col("field_name").alias("label"),
+                       F.coalesce("keywords", F.array("field_name")).alias("keywords"), "answer_confidence")
+    by_doc = asked.groupBy(key).agg(F.collect_list(request).alias("asked"))
+
+    def with_chunk(ls: Column) -> Column:
+        return F.transform("asked", lambda a: F.struct(a.alias("r"), _chunk(
+            ls, lambda x: F.exists(a["keywords"], lambda k: F.contains(F.lower(x), F.lower(k)))).alias("chunk")))
+
+    rows = by_doc.join(docs.select(key, "text"), key).select(key, F.explode(T.let(F.split("text", "\n", -1), with_chunk)).alias("w"))
+    return rows.select(key, "w.r.*", "w.chunk").filter("chunk <> ''")
 
 
-def merge_answers(resolved: DataFrame, answers: DataFrame) -> DataFrame:
-    """Answers ``(doc_id, field_name, answer)`` fill the fields that have no value."""
-    a = answers.select("doc_id", "field_name", T.blank_to_null(F.col("answer")).alias("answer"))
+def merge_answers(resolved: DataFrame, answers: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Answers ``(request_id, answer)`` fill the fields that have no value; of several the smallest not blank counts."""
+    said = T.blank_to_null(F.col("answer"))
+    a = answers.select("request_id", said.alias("answer")).filter(F.col("answer").isNotNull()).groupBy("request_id").agg(F.min("answer").alias("answer"))
     filled = F.col("value").isNull() & F.col("answer").isNotNull()
-    return resolved.join(a, ["doc_id", "field_name"], "left").withColumns({
+    return resolved.withColumn("request_id", _request_id(key)).join(a, "request_id", "left").withColumns({
         "confidence": F.when(filled, ANSWER_CONFIDENCE).otherwise(F.col("confidence")),
         "reason": F.when(~filled, F.col("reason")),
         "value": F.coalesce("value", "answer"),
-    }).drop("answer")
+    }).drop("answer", "request_id")
 
 
 def first_pattern(text: Column, patterns: Sequence[str]) -> Column:

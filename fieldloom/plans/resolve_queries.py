@@ -319,6 +319,42 @@ def d22(spark, d):
     return L.fallback_queue(R.resolve(forms(spark, d), REQUESTS)).select("doc_id", "field_name", "answer_confidence", "field_code")
 
 
+@query("d22_work_list", S.with_(ACCEPTED + f",\n{ALIASES}" + """,
+w_kw AS (SELECT field_name, list_sort(list(k)) AS ks FROM (SELECT field_name, field_name AS k FROM req UNION
+  SELECT r.field_name, s.alias FROM req r JOIN aliases o ON lower(o.alias) = lower(r.field_name)
+    JOIN aliases s ON s.dict_rank = o.dict_rank AND s.field_key = o.field_key) GROUP BY 1),
+w_a AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM forms WHERE text <> ''),
+w_l AS (SELECT doc_id, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS i FROM w_a),
+w_h AS (SELECT q.doc_id, q.field_name, t, i, len(list_filter(ks, lambda k: contains(lower(t), lower(k)))) > 0 AS h
+  FROM acc q JOIN w_kw USING (field_name) JOIN w_l USING (doc_id) WHERE q.fuzzy IS NULL),
+w_w AS (SELECT *, max(CAST(h AS INT)) OVER (PARTITION BY doc_id, field_name ORDER BY i ROWS BETWEEN 14 PRECEDING AND 15 FOLLOWING) AS keep,
+  max(CAST(h AS INT)) OVER (PARTITION BY doc_id, field_name) AS any_hit FROM w_h),
+w_k AS (SELECT *, lag(i) OVER (PARTITION BY doc_id, field_name ORDER BY i) AS prev FROM w_w WHERE (any_hit = 1 AND keep = 1) OR (any_hit = 0 AND i <= 100)),
+w_c AS (SELECT doc_id, field_name, CASE WHEN max(any_hit) = 1 THEN substr(string_agg(CASE WHEN i > coalesce(prev, -1) + 1 THEN '... [gap] ...' || chr(10) || t ELSE t END, chr(10) ORDER BY i), 1, 8000)
+  ELSE string_agg(t, chr(10) ORDER BY i) END AS chunk FROM w_k GROUP BY 1, 2)""", """SELECT c.doc_id || ':' || trim(regexp_replace(lower(c.field_name), '[^a-z0-9]+', '_', 'g'), '_') AS request_id,
+  c.doc_id, c.field_name AS label, array_to_string(ks, '|') AS keywords, md5(chunk) AS chunk_md5 FROM w_c c JOIN w_kw USING (field_name)"""))
+def d22_work(spark, d):
+    docs = forms(spark, d)
+    names = spark.createDataFrame([(n,) for n in REQUESTS], "field_name string")
+    keywords = R.expand_aliases(names, Dic.aliases(spark), "field_name").select("field_name", "alias")
+    return L.work_list(L.fallback_queue(R.resolve(docs, REQUESTS)), docs, keywords).select(
+        "request_id", "doc_id", "label", F.array_join("keywords", "|").alias("keywords"), F.md5("chunk").alias("chunk_md5"))
+
+
+# the outside model's answers: an order's priority for its transformer, some blank, some sent twice
+@query("d22_merged_answers", S.with_(ACCEPTED + """,
+w_ans AS (SELECT o_orderkey AS doc_id, 'Transformer ID' AS field_name, trim(o_orderpriority) AS answer FROM orders WHERE o_orderkey % 3 <> 0)""",
+    """SELECT doc_id, field_name, coalesce(value, answer) AS value,
+  round(CASE WHEN value IS NULL AND answer IS NOT NULL THEN 0.85 ELSE confidence END, 6)::DOUBLE AS confidence,
+  CASE WHEN value IS NULL AND answer IS NOT NULL THEN NULL ELSE reason END AS reason FROM acc LEFT JOIN w_ans USING (doc_id, field_name)"""))
+def d22_merged(spark, d):
+    said = table(spark, d, "orders").select(
+        F.concat_ws(":", F.col("o_orderkey").cast("string"), F.lit("transformer_id")).alias("request_id"),
+        F.explode(F.array(F.lit(" "), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))).alias("answer"))
+    return L.merge_answers(R.resolve(forms(spark, d), REQUESTS), said.unionAll(said)).select(
+        "doc_id", "field_name", "value", F.round("confidence", 6).alias("confidence"), "reason")
+
+
 @query("d23_display_name", S.with_(NAMES + f",\n{ALIASES},\n{DISPLAY},\n{CANON}" + """,
 ks AS (SELECT DISTINCT canonical_name AS field_key FROM canon WHERE canonical_name IS NOT NULL)""", """SELECT k.field_key, coalesce(m.name, a.alias,
   array_to_string(list_transform(string_split(k.field_key, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')) AS display_name FROM ks k
