@@ -227,15 +227,20 @@ def report_values(fields: DataFrame, values: DataFrame, key: str = "doc_id") ->
 
     ``fields`` is ``(key, ord, field_code, label, dynamic_value, static_value)``, ``values`` is ``(key, name, value)``.
     """
-    v = values.filter(F.col("value") != "").select(key, "name", F.col("value").alias("v"))
-    slots = fields.withColumn("slug", T.slug(T.collapse_blanks(F.col("label"))))
-    wanted = slots.select(key, "ord", F.posexplode(F.array("field_code", "label", "slug", "dynamic_value")).alias("pos", "name"))
-    first = wanted.join(v, [key, "name"]).groupBy(key, "ord").agg(F.min_by("v", "pos").alias("chosen"))
-    named = slots.join(first, [key, "ord"], "left").withColumn("value", F.coalesce("chosen", F.nullif("static_value", F.lit(""))))
-    spread = named.filter(F.col("value").isNotNull()).select(
-        key, "ord", F.explode(F.array("field_code", "label", "slug")).alias("name"), "value").filter(F.col("name") != "")
-    explicit = v.select(key, F.lit(1 << 30).alias("ord"), "name", F.col("v").alias("value"))
-    return spread.unionByName(explicit).groupBy(key, "name").agg(F.max_by("value", "ord").alias("value"))
+    of_slot = F.struct("ord", "field_code", "label", T.slug(T.collapse_blanks(F.col("label"))).alias("slug"), "dynamic_value", "static_value")
+    of_value = F.struct("name", F.col("value").alias("v"))
+    slots = fields.select(key, of_slot.alias("s"))
+    given = values.filter(F.col("value") != "").select(key, of_value.alias("v"))
+    # a report's fields and values meet in one grouping, so neither side is ever broadcast
+    both = slots.unionByName(given, allowMissingColumns=True).groupBy(key).agg(F.collect_list("s").alias("ss"), F.collect_list("v").alias("vs"))
+    of = lambda name: F.get(F.filter("vs", lambda x: x["name"] == name), F.lit(0))["v"]
+    chosen = lambda s: F.coalesce(*[of(s[c]) for c in ("field_code", "label", "slug", "dynamic_value")], F.nullif(s["static_value"], F.lit("")))
+    named = lambda s: T.let(chosen(s), lambda v: F.transform(F.array(s["field_code"], s["label"], s["slug"]), lambda n: F.struct(
+        s["ord"].alias("ord"), n.alias("name"), v.alias("value"))))
+    explicit = F.transform("vs", lambda x: F.struct(F.lit(1 << 30).alias("ord"), x["name"].alias("name"), x["v"].alias("value")))
+    out = both.select(key, F.explode_outer(F.concat(F.flatten(F.transform("ss", named)), explicit)).alias("r")).select(key, "r.*")
+    # explicit values of any name, fields' values of names that are not empty
+    return out.filter(F.col("value").isNotNull() & ((F.col("name") != "") | (F.col("ord") == 1 << 30))).groupBy(key, "name").agg(F.max_by("value", "ord").alias("value"))
 
 
 def render(text: Column, values: Column, spellings: Sequence[tuple[str, str]] = (("{{", "}}"),)) -> Column:
