@@ -124,3 +124,15 @@ def test_vector_index_loses_no_pair(spark):
     met = R.vector_join(req, df, 0.97)
     assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
     assert R.vector_join(req, df.where("vec_id in (300, 301)"), 0.5).count() == 0 and R.vector_join(req, df.where("false"), 0.5).count() == 0
+
+
+def test_vectors_meet_in_cells(spark):
+    rows = [(i, [1.0, float(i % 3)], "x") for i in range(40)] + [(40, [1.0, None], "y"), (41, [2.0, 0.0, 0.0], "z"), (42, None, "n")]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<float>, kind string")
+    req = df.where("vec_id % 20 = 0 or vec_id = 41").selectExpr("vec_id as request_id", "vec as request_vec", "kind as asked")
+    met = R.vector_join(req, df, 0.999, side=7)
+    assert set(met.columns) == {"request_id", "asked", "vec_id", "kind", "similarity"}
+    got = {(r.request_id, r.vec_id) for r in met.collect()}
+    assert got == {(i, j) for i in (0, 20) for j in range(40) if i != j and i % 3 == j % 3} and met.count() == len(got)
+    # the cells are dealt by a key of their own, not by where vectors lie: one row for each pair, no vector in it
+    assert "FlatMapGroupsInArrow" in met._jdf.queryExecution().executedPlan().toString()
