@@ -176,7 +176,7 @@ LABEL_KEYS = {"Survey Number": "survey_number", "District": "district", "PAN No"
   false AS validation_error FROM facts, (VALUES ('survey_number'), ('district'), ('pincode'), ('transformer_id')) t(k)"""))
 def f12(spark, d):
     docs = forms(spark, d)
-    kv = D.apply_strategies(D.section_lines(docs, ["doc_id"]), [D.key_value_same_line], ["doc_id"])
+    kv = D.key_values(docs, ["doc_id"])
     key = F.create_map(*[F.lit(x) for p in LABEL_KEYS.items() for x in p])[F.col("label")]
     res = kv.withColumn("field_key", key).filter("field_key is not null").groupBy("doc_id", "field_key").agg(
         F.min_by("value", "source_line").alias("value"), F.max("ocr_confidence").alias("confidence"))
