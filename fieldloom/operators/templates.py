@@ -267,11 +267,8 @@ def unresolved_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def structure_profile(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sections, tables, rows and cells per document."""
-    sec = D.sections(docs, [key]).groupBy(key).agg(F.count("*").alias("sections"))
-    tab = D.tables(docs, [key]).groupBy(key).agg(
-        F.count("*").alias("tables"), F.sum(F.size("rows")).alias("rows"),
-        F.sum(F.aggregate("rows", F.lit(0), lambda s, r: s + F.size(r["parts"]))).alias("cells"))
-    return sec.join(tab, key, "left").na.fill(0, ["tables", "rows", "cells"])
+    return docs.select(key, D.structure_counts(F.col("text")).alias("c")).select(key, "c.*").groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in ("sections", "tables", "rows", "cells")])
 
 
 def structure_mismatch(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
