@@ -32,6 +32,8 @@ PARTY_PATTERNS = [
     r"(?i)(?:Second Party|Vendee|Buyer Name|Name of Purchaser|Name of Buyer)\s*[:\-–—=]+\s*([^\n]+(?:\n[^\n]+)?)",
     r"(?i)(?:Purchaser|Buyer|Purchaser\(s\)|Buyer\(s\))\s*[:\-–—=]+\s*([^\n]+(?:\n[^\n]+)?)",
 ]
+# lower-cased words one of which stands in whatever a party pattern matches
+PARTY_NEEDS = ["purchaser", "buyer", "vendee", "second party"]
 PARTY_STOPS = "valuation inspection purpose prohibited opinion mortgage ftl property description".split()
 PHONE = r"\b[6-9]\d{9}\b|\+91\s*[6-9]\d{9}\b"
 RESIDENCE = r"(?i)\b(?:Resident of|residing at|R/o\.?|R/O|Address:)\s+(.*)"
@@ -139,8 +141,10 @@ def clean_party_name(raw: Column) -> Column:
         full = F.array_join(F.concat(F.slice(ls, 1, 1), kept), " ")
         return T.collapse_blanks(F.regexp_replace(F.regexp_replace(full, NAME_TAIL, ""), r"[^A-Za-z.()]+$", ""))
 
-    name = T.let(F.filter(T.stripped_lines(raw), lambda x: x != ""), join)
-    return T.let(name, lambda n: F.when(F.length(n) > 3, n))
+    def named(text: Column) -> Column:
+        return T.let(F.filter(T.stripped_lines(text), lambda x: x != ""), join)
+
+    return T.let(T.let(raw, named), lambda n: F.when(F.length(n) > 3, n))
 
 
 def derive_owner(text: Column, stored_owner: Column, seller: Column) -> Column:
@@ -158,17 +162,21 @@ def derive_owner(text: Column, stored_owner: Column, seller: Column) -> Column:
 
 
 def party_block(text: Column) -> Column:
-    """The purchaser block: its first line and the next one unless it opens another topic."""
+    """The purchaser block: its first line and the next one unless it opens another topic.
+
+    Texts without a word that every pattern needs are not searched; what a pattern finds is bound before its lines are read.
+    """
     def block(raw: Column) -> Column:
         return T.let(F.filter(T.stripped_lines(raw), lambda x: x != ""), lambda ls: T.collapse_blanks(F.array_join(F.concat(
             F.slice(ls, 1, 1), F.filter(F.slice(ls, 2, 1), lambda x: ~T.contains_any(F.lower(x), PARTY_STOPS))), " ")))
 
-    return F.coalesce(*[
-        T.let(block(F.regexp_extract(text, p, 1)), lambda b: F.when(F.length(b) > 3, b)) for p in PARTY_PATTERNS])
+    found = F.coalesce(*[
+        T.let(T.let(F.regexp_extract(text, p, 1), block), lambda b: F.when(F.length(b) > 3, b)) for p in PARTY_PATTERNS])
+    return F.when(T.let(F.lower(text), lambda low: T.contains_any(low, PARTY_NEEDS)), found)
 
 
 def split_party(block: Column) -> Column:
-    """Phone, address and name of a party block."""
+    """Phone, address and name of a party block, which is made once."""
     def split(x: Column) -> Column:
         body, phone = x["body"], x["phone"]
         marked = F.regexp_extract(body, RESIDENCE, 1)
@@ -181,12 +189,12 @@ def split_party(block: Column) -> Column:
                           clean_party_name(body))
         return F.struct(name.alias("name"), addr.alias("address"), phone.alias("phone"))
 
-    def cut(p: Column) -> Column:
-        bare = T.strip(F.replace(block, p, F.lit("")))
+    def cut(b: Column, p: Column) -> Column:
+        bare = T.strip(F.replace(b, p, F.lit("")))
         body = T.strip(F.regexp_replace(bare, r"(?i)\b(?:phone|mobile|contact|tel|no\.?)\s*[:\-]?\s*$", ""))
-        return F.struct(F.when(p != "", body).otherwise(block).alias("body"), F.nullif(p, F.lit("")).alias("phone"))
+        return F.struct(F.when(p != "", body).otherwise(b).alias("body"), F.nullif(p, F.lit("")).alias("phone"))
 
-    return F.when(block.isNotNull(), T.let(T.let(F.regexp_extract(block, PHONE, 0), cut), split))
+    return T.let(block, lambda b: F.when(b.isNotNull(), T.let(T.let(F.regexp_extract(b, PHONE, 0), lambda p: cut(b, p)), split)))
 
 
 def party_profiles(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import derive as V
 from ..operators import discovery as D
+from ..operators import label_search as L
 from ..operators import resolve as R
 from ..sources import dictionaries as Dic
 from ..sources import forms as Fm
@@ -73,7 +74,8 @@ def f3(spark, d):
 @query("f4_party_block", S.with_(S.FACTS, """SELECT o_orderkey AS doc_id, 'Smt. ' || buyer AS name, 'Flat 12, ' || village || ' Road, Phone:  Village: ' || village AS address, phone
   FROM facts WHERE o_orderkey % 3 = 0"""))
 def f4(spark, d):
-    return forms(spark, d).select("doc_id", V.split_party(V.party_block(F.col("text"))).alias("p")).filter("p is not null").select("doc_id", "p.*")
+    party = V.split_party(V.party_block(F.col("text")))
+    return L.only(forms(spark, d), "p", party, lambda p: p.isNotNull()).select("doc_id", "p.*")
 
 
 PARTY_TEXT = ("'This deed is made between Mr. ' || owner || ' S/o Late ' || village || ' Rao aged 50, hereinafter the Vendor. Cell. ' || chr(10) || "
