@@ -23,3 +23,9 @@ def test_party_block_is_made_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.b and tuple(r.b) for r in df.select(V.split_party(V.party_block(F.col("t"))).alias("b")).collect()]
     assert got == [("Ravi Kumar", None, "9876543210"), None, ("Ravi Teja", None, None), None, None, None, ("Anil Rao", "Main road near lake", None)]
+
+
+def test_recognised_lines_are_made_once(spark):
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 20)
+    # the form's text stands in the plan once for each of the two shapes, no filter on the lines makes it again
+    assert plan(registry.queries()["b11_recogniser_shapes"](spark, SF)).count("This paper is dated") == 2
