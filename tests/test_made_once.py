@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from fieldloom.operators import derive as V
+from fieldloom.operators import scored as C
 from fieldloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,16 @@ def test_recognised_lines_are_made_once(spark):
     spark.conf.set("spark.sql.maxPlanStringLength", 1 << 20)
     # the form's text stands in the plan once for each of the two shapes, no filter on the lines makes it again
     assert plan(registry.queries()["b11_recogniser_shapes"](spark, SF)).count("This paper is dated") == 2
+
+
+def test_free_text_is_searched_once_for_all_rules_of_a_pattern(spark):
+    area = plan(registry.queries()["e13_free_text_candidates"](spark, SF)).count("square\\s*feet")
+    assert area == 4  # found once, cut once, and a value for each of two fields
+    docs = spark.createDataFrame([(1, "x\nA 10 sft, a\nB 20 sq.\nft, b\nend"), (2, None), (3, ""), (4, "Net Plot Area is 1/A\nof 3/C, 4/D\nNet Plot Area: 5/E")], "doc_id int, text string")
+    got = sorted(tuple(r) for r in C.free_text_candidates(docs, ["land_area", "built_up_area", "survey_number"]).select("doc_id", "field_key", "k", "source", "value", "line").collect())
+    area = [(0, "10 sft", "A 10 sft, a"), (1, "20 sq.\nft", "B 20 sq.")]
+    want = [(1, f, k, "standalone_area_regex", v, line) for f in ("built_up_area", "land_area") for k, v, line in area]
+    want += [(4, "survey_number", 0, "net_plot_regex", "1/A", "Net Plot Area is 1/A")]
+    want += [(4, "survey_number", k, "standalone_survey_regex", v, line) for k, v, line in (
+        (0, "1/A", "Net Plot Area is 1/A"), (1, "3/C, 4/D", "of 3/C, 4/D"), (2, "5/E", "Net Plot Area: 5/E"))]
+    assert got == sorted(want)
