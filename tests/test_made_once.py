@@ -1,10 +1,12 @@
 """Values that must be made once: plans do not repeat them, and the results are those of the plain definitions."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from fieldloom.operators import derive as V
+from fieldloom.operators import numbers as N
 from fieldloom.operators import scored as C
 from fieldloom.plans import registry
 
@@ -43,3 +45,11 @@ def test_free_text_is_searched_once_for_all_rules_of_a_pattern(spark):
     want += [(4, "survey_number", k, "standalone_survey_regex", v, line) for k, v, line in (
         (0, "1/A", "Net Plot Area is 1/A"), (1, "3/C, 4/D", "of 3/C, 4/D"), (2, "5/E", "Net Plot Area: 5/E"))]
     assert got == sorted(want)
+
+
+def test_permit_number_in_one_long_word(spark):
+    # a start at each character of a word took time with the square of its length
+    df = spark.createDataFrame([("A1" * 100_000 + " of PERMIT No. 7/C2/TP3",), ("z 12/AB34 PERMIT",), ("A1PERMIT9/TP File No. X",)], "t string")
+    start = time.time()
+    assert [r.p for r in df.select(N.permit_number(F.col("t")).alias("p")).collect()] == ["7/C2/TP3", "12/AB34", "A1PERMIT9/TP"]
+    assert time.time() - start < 60
