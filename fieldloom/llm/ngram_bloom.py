@@ -4,9 +4,10 @@ Words and pairs of neighbouring words of the training texts are counted exactly
 on a scale of half powers of two, and an n-gram of level q is entered in the filter once for each level from 1 to q: asking for
 level after level until one is missing gives the count back, always at least as high as entered and rarely higher. The
 filter is built in segments (the first bits of an n-gram's hash choose one), so that segments are filled in parallel; it
-has a bounded size and goes to all workers, which score texts with no shuffle.
+has a bounded size and goes to all workers, which score texts with no shuffle while all levels fit. Else the lowest levels are
+left out, and what a text holds that the filter lacks is joined with the exact counts of these levels.
 
-A pair is asked for only if both of its words are there, and its count is never taken above theirs. The probability of a
+Words among the most frequent have their exact counts on all workers. A pair is asked for only if both of its words are there, and its count is never taken above theirs. The probability of a
 word is that of a Dirichlet prior over the smoothed word counts: (c(h, w) + PRIOR * p(w)) / (c(h) + PRIOR).
 """
 
@@ -24,7 +25,7 @@ from .base import _mixed, cut, hashed_words, text_blocks
 
 #: segments of the filter, as a power of two, and the least bits of one
 SEGMENT_BITS, LEAST_BITS = 12, 1 << 10
-#: size of the whole filter at most (64 MB); beyond its capacity the lowest levels are left out
+#: size of the whole filter at most (64 MB); beyond its capacity the lowest levels are left out and joined
 FILTER_BITS = 1 << 29
 PROBES = 4
 #: words whose exact counts go to all workers at most (16 MB); the other words are joined
@@ -197,16 +198,23 @@ class Filter:
 
 @dataclass
 class Model:
-    """What scoring needs: the filter and the most frequent words on all workers, all words with counts as a table."""
+    """What scoring needs: the filter and the most frequent words on all workers, all n-grams with counts as a table."""
 
     shared: Broadcast
-    words: DataFrame
+    counts: DataFrame
     known_from: int
     train_tokens: int
     distinct: int
     least_level: int
     bits: int
 
+    @property
+    def rest(self) -> DataFrame:
+        """gram, n of the words that are not on all workers and the pairs of levels that the filter lacks."""
+        pairs_below = int(LOW[self.least_level - 1]) if self.least_level <= len(LOW) else 1 << 62
+        is_word = F.col("gram").bitwiseAND(F.lit(1)) == 0
+        return self.counts.where(F.col("n") < F.when(is_word, self.known_from).otherwise(pairs_below))
+
     @property
     def total(self) -> float:
         return self.train_tokens + 0.1 * (self.distinct + 1)
@@ -240,51 +248,140 @@ def trained(docs: DataFrame, learn: Column, filter_bits: int = FILTER_BITS, know
             break
         known_from = int(LOW[q - 1])
     words = counts.where(F.col("gram").bitwiseAND(F.lit(1)) == 0)
-    # at most known_words rows of two numbers
-    top = words.where(F.col("n") >= known_from).toArrow()
+    # at most known_words rows of two numbers, and the end
+    end = int((np.array([_END]) & _EVEN).view(np.int64)[0])
+    top = words.where((F.col("n") >= known_from) | (F.col("gram") == end)).toArrow()
     word, count = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(word)
     n_tokens, distinct = (sum(r[c] for r in shape if r["kind"] == 0) for c in ("tokens", "grams"))
     shared = spark.sparkContext.broadcast((data.ravel(), bits, word[order], count[order]))
-    return Model(shared, words, known_from, n_tokens, distinct, least, bits)
+    return Model(shared, counts, known_from, n_tokens, distinct, least, bits)
+
+
+class _Words:
+    """Counts of words as far as every worker knows them."""
+
+    def __init__(self, filt: Filter, word: np.ndarray, count: np.ndarray, complete: bool):
+        self.filt, self.word, self.count, self.complete = filt, word, count, complete
+        there, c = self.exact(np.array([_END & _EVEN]))
+        #: the end's value, which is also that of a begin
+        self.texts = VALUE[level(c)][0] if there[0] else 0.0
+
+    def exact(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a word is one of the most frequent, and its count."""
+        if not len(self.word):
+            return np.zeros(len(u), bool), np.zeros(len(u), np.int64)
+        at = np.searchsorted(self.word, u)
+        at[at == len(self.word)] = 0
+        there = self.word[at] == u
+        return there, np.where(there, self.count[at], 0)
+
+    def values(self, u: np.ndarray, there: np.ndarray, c: np.ndarray) -> np.ndarray:
+        value = VALUE[level(c)]
+        if not self.complete:
+            value[~there] = VALUE[self.filt.levels(u[~there])]
+        return value
+
+
+def _by_row(row: np.ndarray, rows: int, *values: np.ndarray) -> list[pa.Array]:
+    """Values as one list for each row."""
+    order = np.argsort(row, kind="stable")
+    ends = np.concatenate([[0], np.searchsorted(row[order], np.arange(rows), "right")]).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order])) for x in values]
+
 
+def _log_probability(pair: np.ndarray, mine: np.ndarray, ahead: np.ndarray, total: float, prior: float) -> np.ndarray:
+    alone = np.minimum((mine + 0.1) / total, 1.0)
+    return np.log10((np.minimum(np.minimum(mine, ahead), pair) + prior * alone) / (ahead + prior))
 
-def _scored(shared: Broadcast, total: float, complete: bool, prior: float):
+
+def _scored(shared: Broadcast, total: float, complete: bool, full: bool, prior: float):
+    """Rows with the sums of all tokens that workers know; ``full``: the filter holds all levels.
+
+    ``rest, rest_n``: the words and (with 0) pairs to be joined; ``open_w, open_b, open_n``: tokens whose probability waits for that.
+    """
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bits, word, count = shared.value
         filt = Filter(data, bits)
-        docs_seen = VALUE[filt.levels(np.array([_END & _EVEN]))][0]
+        known_words = _Words(filt, word, count, complete)
         for batch in batches:
             for first, size, token, before in text_tokens(batch.column("text_")):
                 rows = len(size)
                 row = np.repeat(np.arange(rows), size)
                 u, of = np.unique(token, return_inverse=True)
-                at = np.searchsorted(word, u)
-                at[at == len(word)] = 0
-                there = word[at] == u if len(word) else np.zeros(len(u), bool)
-                c = np.where(there, count[at], 0) if len(word) else np.zeros(len(u))
+                there, c = known_words.exact(u)
                 sure = there | complete
                 base = np.bincount(row, np.where(sure, np.log10((c + 0.1) / total), 0.0)[of], rows)
                 known = np.bincount(row, (c > 0)[of], rows).astype(np.int64)
                 rest = np.flatnonzero(~sure[of])
                 both, tf = np.unique(row[rest] * len(u) + of[rest], return_counts=True)
-                ends = np.concatenate([[0], np.searchsorted(both // max(1, len(u)), np.arange(rows), "right")]).astype(np.int32)
-                value = VALUE[filt.levels(u)]
-                mine = value[of]
-                ahead = np.concatenate([[docs_seen], mine[:-1]])
-                ahead[np.cumsum(size)[:-1]] = docs_seen
-                pair = np.zeros(len(token))
-                ask = np.flatnonzero((mine > 0) & (ahead > 0))
+                value = known_words.values(u, there, c)
+                waits = (value == 0) & ~sure & (not full)
+
+                def shifted(x: np.ndarray, begin: float) -> np.ndarray:
+                    out = np.concatenate([[begin], x[:-1]])
+                    out[np.cumsum(size)[:-1]] = begin
+                    return out
+
+                mine, mine_open = value[of], waits[of]
+                ahead, ahead_open = shifted(mine, known_words.texts), shifted(mine_open, False).astype(bool)
+                pair, pair_open = np.zeros(len(token)), np.zeros(len(token), bool)
+                ask = np.flatnonzero(((mine > 0) | mine_open) & ((ahead > 0) | ahead_open))
                 p, of_p = np.unique(pairs(before[ask], token[ask]), return_inverse=True)
-                pair[ask] = np.minimum(np.minimum(mine[ask], ahead[ask]), VALUE[filt.levels(p)][of_p])
-                alone = np.minimum((mine + 0.1) / total, 1.0)
-                lm = np.bincount(row, np.log10((pair + prior * alone) / (ahead + prior)), rows)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (u[both % max(1, len(u))].view(np.int64), tf.astype(np.int64))]
+                pair[ask] = VALUE[filt.levels(p)][of_p]
+                pair_open[ask] = (pair[ask] == 0) & (not full)
+                open_ = mine_open | ahead_open | pair_open
+                lm = np.bincount(row, np.where(open_, 0.0, _log_probability(pair, mine, ahead, total, prior)), rows)
+                # each open pair of words once for each text
+                at = np.flatnonzero(open_)
+                gram = pairs(before[at], token[at])
+                order = np.lexsort((gram, row[at]))
+                at, gram = at[order], gram[order]
+                start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[at[1:]] != row[at[:-1]])])) if len(at) else at
+                times = np.diff(np.append(start, len(at)))
+                at, gram = at[start], gram[start]
+                asked = pair_open[at]
+                lists = _by_row(np.concatenate([both // max(1, len(u)), row[at][asked]]), rows,
+                                np.concatenate([u[both % max(1, len(u))], gram[asked]]).view(np.int64), np.concatenate([tf.astype(np.int64), np.zeros(asked.sum(), np.int64)]))
+                lists += _by_row(row[at], rows, token[at].view(np.int64), before[at].view(np.int64), times.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*[x.slice(first, rows) for x in batch.columns[:-1]], pa.array(size.astype(np.int64)), pa.array(known), pa.array(base), pa.array(lm), *lists],
-                                                 [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rest", "rest_n"])
+                                                 [*batch.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rest", "rest_n", "open_w", "open_b", "open_n"])
     return score
 
 
+def _closed(shared: Broadcast, total: float, complete: bool, prior: float, kept: list[str]):
+    """Rows with the tokens that waited: found_gram and found_n are the joined counts of a text's n-grams."""
+    def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column(name)
+        return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, bits, word, count = shared.value
+        filt = Filter(data, bits)
+        known_words = _Words(filt, word, count, complete)
+        for batch in batches:
+            w, n_open = flat(batch, "open_w")
+            b, times = flat(batch, "open_b")[0].astype(np.int64).view(np.uint64), flat(batch, "open_n")[0]
+            w = w.astype(np.int64).view(np.uint64)
+            gram, where = np.unique(flat(batch, "found_gram")[0].astype(np.int64).view(np.uint64), return_index=True)
+            n = flat(batch, "found_n")[0].astype(np.int64)[where]
+
+            def found(x: np.ndarray, value: np.ndarray) -> np.ndarray:
+                if not len(gram):
+                    return value
+                at = np.searchsorted(gram, x)
+                at[at == len(gram)] = 0
+                return np.where((value == 0) & (gram[at] == x), VALUE[level(n[at])], value)
+
+            words_of = lambda x: found(x, known_words.values(x, *known_words.exact(x)))
+            mine, ahead = words_of(w), np.where(b == (_BEGIN & _EVEN), known_words.texts, words_of(b))
+            p = pairs(b, w)
+            more = np.bincount(np.repeat(np.arange(len(n_open)), n_open), times * _log_probability(found(p, VALUE[filt.levels(p)]), mine, ahead, total, prior), len(n_open))
+            score = pa.array(batch.column("score").to_numpy() + more)
+            yield pa.RecordBatch.from_arrays([score if c == "score" else batch.column(c) for c in kept], kept)
+    return close
+
+
 def scored(docs: DataFrame, model: Model, carry: list[str], prior: float = PRIOR) -> DataFrame:
     """The carried columns of docs, n_tokens, n_known, base_score and score for each row of docs.
 
@@ -293,19 +390,26 @@ def scored(docs: DataFrame, model: Model, carry: list[str], prior: float = PRIOR
     rows agree; other columns are not read; an empty table gives an empty result. Words are compared by 63 bits of a hash.
     """
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    complete = model.known_from <= 1
+    complete, full = model.known_from <= 1, model.least_level <= 1
     packed = docs.select(F.monotonically_increasing_id().alias("rid"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], docs["text"].alias("text_"))
-    schema = ", ".join(["rid long", *[f"c{i} {types[c]}" for i, c in enumerate(carry)], "n_tokens long, n_known long, base_score double, score double, rest array<long>, rest_n array<long>"])
-    rows = packed.mapInArrow(_scored(model.shared, model.total, complete, prior), schema)
+    schema = ", ".join(["rid long", *[f"c{i} {types[c]}" for i, c in enumerate(carry)], "n_tokens long, n_known long, base_score double, score double, rest array<long>, rest_n array<long>, open_w array<long>, open_b array<long>, open_n array<long>"])
+    rows = packed.mapInArrow(_scored(model.shared, model.total, complete, full, prior), schema)
     names = {f"c{i}": c for i, c in enumerate(carry)}
-    if complete:
-        return rows.drop("rid", "rest", "rest_n").withColumnsRenamed(names)
+    lists = ["rest", "rest_n", "open_w", "open_b", "open_n"]
+    if complete and full:
+        return rows.drop("rid", *lists).withColumnsRenamed(names)
     rows = cut(rows, "scored")
-    # words that are not among the most frequent: a row for each document and word
+    # words that are not among the most frequent and n-grams that the filter lacks: a row for each document and n-gram
     rare = rows.select("rid", F.explode(F.arrays_zip("rest", "rest_n")).alias("z")).select("rid", F.col("z.rest").alias("gram"), F.col("z.rest_n").alias("tf"))
     c = F.coalesce("n", F.lit(0))
-    more = rare.join(model.words.where(F.col("n") < model.known_from), "gram", "left").groupBy("rid").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((c + 0.1) / model.total)).alias("more_base"))
+    there = F.struct("gram", "n")
+    found = [] if full else [F.collect_list(F.when(c > 0, there)).alias("found")]
+    more = rare.join(model.rest, "gram", "left").groupBy("rid").agg(
+        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((c + 0.1) / model.total)).alias("more_base"), *found)
     out = rows.drop("rest", "rest_n").join(more, "rid", "left")
-    return (out.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more_base", F.lit(0.0)))
-            .drop("rid", "more_known", "more_base").withColumnsRenamed(names))
+    out = out.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("more_base", F.lit(0.0)))
+    if not full:
+        kept = [*names, "n_tokens", "n_known", "base_score", "score"]
+        wide = out.select(*kept, "open_w", "open_b", "open_n", F.col("found.gram").alias("found_gram"), F.col("found.n").alias("found_n"))
+        out = wide.mapInArrow(_closed(model.shared, model.total, complete, prior, kept), ", ".join([*[f"c{i} {types[c]}" for i, c in enumerate(carry)], "n_tokens long, n_known long, base_score double, score double"]))
+    return out.drop("rid", "more_known", "more_base", *lists).withColumnsRenamed(names)

@@ -92,3 +92,17 @@ def test_nothing_learned_and_empty_tables(spark, odd_docs, empty_docs):
     assert ngram_bloom.scored(empty_docs, model, ["doc_id"]).count() == 0
     assert ngram_bloom.scored(odd_docs, model, odd_docs.drop("text").columns).count() == odd_docs.count()
     assert ngram_bloom.trained(empty_docs, F.lit(True)).distinct == 0
+
+
+@pytest.mark.parametrize(("known", "bits"), [(1 << 20, 1 << 13), (5, 1 << 13), (5, 1)])
+def test_levels_that_a_full_filter_lacks_are_joined(spark, texts, known, bits):
+    docs, rows = texts
+    learn = F.col("doc_id") % 10 != 0
+    whole, small = ngram_bloom.trained(docs, learn), ngram_bloom.trained(docs, learn, filter_bits=bits, known_words=known)
+    assert whole.least_level == 1 and small.least_level > 1
+    of = lambda m: sorted(tuple(r) for r in ngram_bloom.scored(docs, m, ["doc_id", "n"]).collect())
+    want, got = of(whole), of(small)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) == len(rows)
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], rel=1e-9)
+    # a false positive of a filter counts an n-gram a little higher
+    assert sum(abs(a[5] - b[5]) < 1e-6 * max(1, abs(b[5])) for a, b in zip(got, want)) > 0.9 * len(rows)
