@@ -1,13 +1,16 @@
 """Values that must be made once: plans do not repeat them, and the results are those of the plain definitions."""
 
+import random
 import re
 import time
 
 from pyspark.sql import functions as F
 
 from fieldloom.operators import derive as V
+from fieldloom.operators import discovery as D
 from fieldloom.operators import numbers as N
 from fieldloom.operators import scored as C
+from fieldloom.operators import templates as G
 from fieldloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +56,15 @@ def test_permit_number_in_one_long_word(spark):
     start = time.time()
     assert [r.p for r in df.select(N.permit_number(F.col("t")).alias("p")).collect()] == ["7/C2/TP3", "12/AB34", "A1PERMIT9/TP"]
     assert time.time() - start < 60
+
+
+def test_template_fields_within_the_row_are_those_of_the_lines(spark):
+    p = plan(registry.queries()["g5_template_lines"](spark, SF))
+    assert "Window" not in p and p.count("Aggregate") == 1  # the order's items
+    pick = random.Random(4)
+    parts = ["", "HEAD ONE", "TWO", "Name: x", "Owner = y  z", "Label: Full name", "code: A b", "Source: deed.p1", "static: 5", "keywords: a", "some words", "Ends:", ": odd", "Source Document: q.r"]
+    rows = [(i, "\n".join(pick.choice(parts) for _ in range(pick.randint(0, 14)))) for i in range(400)] + [(400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = G.parse_spec_lines(D.line_rows(docs, ["doc_id"]))
+    of = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+    assert of(G.parse_specs(docs)) == of(want) and want.count() > 500
