@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import derive as V
 from fieldloom.operators import discovery as D
+from fieldloom.operators import lookup as K
 from fieldloom.operators import numbers as N
+from fieldloom.operators import rules as E
 from fieldloom.operators import scored as C
 from fieldloom.operators import templates as G
 from fieldloom.plans import registry
@@ -68,3 +70,12 @@ def test_template_fields_within_the_row_are_those_of_the_lines(spark):
     want = G.parse_spec_lines(D.line_rows(docs, ["doc_id"]))
     of = lambda df: sorted(map(str, df.select(*want.columns).collect()))
     assert of(G.parse_specs(docs)) == of(want) and want.count() > 500
+
+
+def test_labelled_lookup_makes_only_lines_with_an_anchor_word(spark):
+    docs = spark.createDataFrame([(1, "A line of words that is long.\nSURVEY NUMBER: 12/B\nAnother line of words.\nVillage:\nKokapet is here.")], "doc_id int, text string")
+    rows = E.rule_lines(docs, "doc_id", 2, ["survey", "village"]).collect()
+    assert [(r.i, r.line_no, r.text, [a.text for a in r.ahead]) for r in rows] == [
+        (1, 2, "SURVEY NUMBER: 12/B", ["Another line of words.", "Village:"]), (3, 4, "Village:", ["Kokapet is here."])]
+    got = K.lookup(docs, {"survey_number": ["Survey No", "Survey Number"], "none": ["::"], "village": ["Village"]}).select("field_key", "value").collect()
+    assert sorted(map(tuple, got)) == [("survey_number", "12/B"), ("village", "Kokapet is here.")]
