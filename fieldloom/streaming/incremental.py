@@ -24,12 +24,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
-    """A Parquet table folder as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    """A Parquet table, one file or a folder of files, as a stream of files."""
+    table = f"{folder}/{name}.parquet"
+    there = spark.read.parquet(table)
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files_per_batch)
+    # a single file is found by its name in the folder of all tables, the files of a folder have other names
+    if any(f"/{name}.parquet/" in f for f in there.inputFiles()):
+        return stream.parquet(table)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_available(stream: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
